@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, token_counts, warc
+from . import bpe, quality, token_counts, warc
 from .common import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,9 +42,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(lengths, by=("lang",))
 
 
+#: Labels that mark a document as wanted.
+WANTED = (F.col("quality") == 1) & (F.col("toxic") == 0)
+
+
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.resampled(docs, labels, WANTED, shared_dir(spark), keep=["doc_id"])
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op10_importance_resampling": op10_importance_resampling,
     "op3_token_counts": op3_token_counts,
 }
 
