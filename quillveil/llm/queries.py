@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality, token_counts, warc
+from . import bpe, decontaminate, quality, token_counts, warc
 from .common import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(lengths, by=("lang",))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared_dir(spark))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 #: Labels that mark a document as wanted.
 WANTED = (F.col("quality") == 1) & (F.col("toxic") == 0)
 
@@ -54,6 +61,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_winnowing": op5_winnowing,
     "op10_importance_resampling": op10_importance_resampling,
     "op3_token_counts": op3_token_counts,
 }
