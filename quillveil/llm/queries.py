@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, quality, token_counts, warc
+from . import bpe, chat, decontaminate, quality, token_counts, warc
 from .common import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +49,38 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A conversation whose texts hold control strings and escapes.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
+    scratch = shared_dir(spark)
+    messages = chat.linear(turns.unionByName(hard))
+    out = chat.formatted(messages, chat.paths(messages, scratch))
+    out = out.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("under_loss", chat.loss_text(F.col("formatted"), F.col("loss")))
+    all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_turns, 256).alias("turns_sha256"),
+        F.length("under_loss").cast("long").alias("loss_chars"), F.sha2("under_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+     e AS (SELECT *, length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '#', '\h')) AS n_text,
+                  length(replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '#', '\h'), ':', '\c')) AS n_role FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n_text + n_role + 15)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 #: Labels that mark a document as wanted.
 WANTED = (F.col("quality") == 1) & (F.col("toxic") == 0)
 
@@ -62,10 +94,12 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_winnowing": op5_winnowing,
+    "op6_reply_trees": op6_reply_trees,
     "op10_importance_resampling": op10_importance_resampling,
     "op3_token_counts": op3_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op6_reply_trees": OP6_SQL,
 }
