@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, quality, token_counts, warc
+from . import bpe, chat, decontaminate, pii, quality, token_counts, warc
 from .common import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -81,6 +81,15 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"), shared_dir(spark))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == "email")), F.size(F.filter("base", lambda s: s["kind"] == "ip")), F.size(F.filter("base", lambda s: s["kind"] == "card")), F.size(F.filter("base", lambda s: s["kind"] == "phone"))]
+    return found.select(
+        "doc_id", *(c.cast("long").alias(f"n_{kind}") for c, kind in zip(counts, pii.KINDS, strict=True)),
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"),
+    )
+
+
 #: Labels that mark a document as wanted.
 WANTED = (F.col("quality") == 1) & (F.col("toxic") == 0)
 
@@ -95,6 +104,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_winnowing": op5_winnowing,
     "op6_reply_trees": op6_reply_trees,
+    "op8_sanitisation": op8_sanitisation,
     "op10_importance_resampling": op10_importance_resampling,
     "op3_token_counts": op3_token_counts,
 }
