@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, pii, quality, token_counts, warc
+from . import bpe, chat, decontaminate, embed, pii, quality, token_counts, warc
 from .common import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -81,6 +81,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op7_p_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"), shared_dir(spark))
+
+
 def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"), shared_dir(spark))
     counts = [F.size(F.filter("base", lambda s: s["kind"] == "email")), F.size(F.filter("base", lambda s: s["kind"] == "ip")), F.size(F.filter("base", lambda s: s["kind"] == "card")), F.size(F.filter("base", lambda s: s["kind"] == "phone"))]
@@ -104,6 +108,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_winnowing": op5_winnowing,
     "op6_reply_trees": op6_reply_trees,
+    "op7_p_stable": op7_p_stable,
     "op8_sanitisation": op8_sanitisation,
     "op10_importance_resampling": op10_importance_resampling,
     "op3_token_counts": op3_token_counts,
