@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, embed, pii, quality, token_counts, warc
+from . import bpe, chat, decontaminate, embed, jaccard, pii, quality, token_counts, warc
 from .common import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -94,6 +94,10 @@ def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), shared_dir(spark))
+
+
 #: Labels that mark a document as wanted.
 WANTED = (F.col("quality") == 1) & (F.col("toxic") == 0)
 
@@ -110,6 +114,7 @@ QUERIES = {
     "op6_reply_trees": op6_reply_trees,
     "op7_p_stable": op7_p_stable,
     "op8_sanitisation": op8_sanitisation,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_importance_resampling": op10_importance_resampling,
     "op3_token_counts": op3_token_counts,
 }
