@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, embed, jaccard, pii, quality, token_counts, warc
+from . import bpe, chat, decontaminate, embed, jaccard, pii, quality, suffix, token_counts, warc
 from .common import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(lengths, by=("lang",))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, sf_dir, "documents"), shared_dir(spark))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared_dir(spark))
     return found.select(
@@ -110,6 +114,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_winnowing": op5_winnowing,
     "op6_reply_trees": op6_reply_trees,
     "op7_p_stable": op7_p_stable,
