@@ -61,6 +61,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
 
 def wanted_ids(labels: DataFrame, wanted, doc_id: str = "doc_id", most: int = LABELS) -> np.ndarray:
     """Sorted ids of the wanted documents among the `most` labelled ones with the smallest hashes: bounded, so collected."""
+    wanted = F.expr(wanted) if isinstance(wanted, str) else wanted
     rows = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.min(F.coalesce(wanted, F.lit(False))).alias("wanted"))
     rows = rows.orderBy(F.xxhash64("id"), "id").limit(most).where("wanted")
     return np.sort(np.array([r[0] for r in rows.select("id").collect()], np.int64))
@@ -178,7 +179,7 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
 def resampled(docs: DataFrame, labels: DataFrame, wanted, scratch: str, seed: int = 0, k: int | None = None, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`docs` with log_weight, key and kept: whether the key is among the k largest (equal keys at the edge all count).
 
-    `wanted` is a condition on `labels`. Without `k`, the sample is as large as it takes to keep `KEEP` of the labelled
+    `wanted` is a condition on `labels`, in SQL or as a column. Without `k`, the sample is as large as it takes to keep `KEEP` of the labelled
     wanted documents; where none is labelled, all documents are kept.
     """
     ids = wanted_ids(labels, wanted, doc_id)

@@ -103,7 +103,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Labels that mark a document as wanted.
-WANTED = (F.col("quality") == 1) & (F.col("toxic") == 0)
+WANTED = "quality = 1 AND toxic = 0"
 
 
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
