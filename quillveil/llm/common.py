@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,12 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished work that nothing refers to, which it else does at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text):
     """Lower-case A-Z alone; `lower` is the same and faster where a text is all ASCII."""
     text = F.coalesce(text, F.lit(""))

@@ -24,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import texthash
-from .common import stored
+from .common import released, stored
 from .components import components
 
 SHINGLE = 5
 KIND = texthash.classes(b" \t\n\x0b\x0c\r", others=False)
-CHUNK = 2_000_000
+CHUNK = 500_000
 PARTS = 1024
 #: Shingles of fewer documents are never common; of more, at most `COMMON` are known as such: a bound on what is broadcast.
 RARE, COMMON = 32, 1 << 21
 REGION = 4096
 #: Bits in which the documents of all regions are marked; full bits cost shuffling, never a result.
 MARKS = 1 << 25
+#: Memberships in regions up to this many are broadcast (counted first); beyond, the sets are shuffled once more.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -147,7 +149,8 @@ def cells(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
                 times = [len(k) for k, _, _ in held]
                 sig = np.repeat(np.array([s for _, s, _ in held], np.int64), times)
                 n = np.repeat(np.array([n for _, _, n in held], np.uint32), times)
-                return _parted((key >> np.uint64(12)) % np.uint64(PARTS), key, sig, n)
+                at = np.concatenate([np.arange(t, dtype=np.uint32) for t in times])
+                return _parted((key >> np.uint64(12)) % np.uint64(PARTS), key, sig, n, at)
 
             for _, s in _sets(batch, 1):
                 if len(s):
@@ -160,15 +163,20 @@ def cells(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
                 yield made()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, sig, n in _by_part(batches, ["<u8", "<i8", "<u4"]):
+        for key, sig, n, at in _by_part(batches, ["<u8", "<i8", "<u4", "<u4"]):
             order = np.lexsort([sig, n, key])
-            key, sig, n = key[order], sig[order], n[order]
+            key, sig, n, at = key[order], sig[order], n[order], at[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])])
-            key, sig, n = key[new], sig[new], n[new].astype(np.int64)
+            key, sig, n, at = key[new], sig[new], n[new].astype(np.int64), at[new].astype(np.int64)
             # A cell ends with its shingle, or where the next size can't link to any before it.
             start = np.concatenate([[True], (key[1:] != key[:-1]) | (4 * n[1:] > 5 * n[:-1])])
             cell = np.cumsum(start) - 1
-            many = np.bincount(cell)[cell] > 1
+            times = np.bincount(cell)
+            many = times[cell] > 1
+            # Of two sets that share no shingle before this one, at most what follows it is common: 9 |a & b| >= 4 (m + n).
+            first = np.flatnonzero(start)[times == 2]
+            over = 9 * np.minimum(n[first] - at[first], n[first + 1] - at[first + 1]) < 4 * (n[first] + n[first + 1])
+            many[first[over]] = many[first[over] + 1] = False
             if many.any():
                 sig, starts = sig[many], np.flatnonzero(np.concatenate([[True], cell[many][1:] != cell[many][:-1]]))
                 weight = texthash._mix(sig.astype(np.uint64))
@@ -180,7 +188,7 @@ def cells(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
                 pairs = np.unique(np.stack([sig, np.repeat(pivots, size)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["sig", "pivot"])
 
-    rows = docs.mapInArrow(emit, "part int, c0 binary, c1 binary, c2 binary").repartition("part").sortWithinPartitions("part")
+    rows = docs.mapInArrow(emit, "part int, c0 binary, c1 binary, c2 binary, c3 binary").repartition("part").sortWithinPartitions("part")
     return rows.mapInArrow(meet, "sig bigint, pivot bigint").distinct()
 
 
@@ -229,7 +237,10 @@ def region_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
 def links(docs: DataFrame, reps: DataFrame, scratch: str) -> DataFrame:
     """(a, b): links between distinct sets, by the ids of their representatives, enough of them to connect all components."""
     spark = docs.sparkSession
-    regions = stored(cells(docs, *common_shingles(docs, scratch)), f"{scratch}/regions")
+    common = common_shingles(docs, scratch)
+    released(spark)
+    regions = stored(cells(docs, *common), f"{scratch}/regions")
+    released(spark)
     sizes = regions.groupBy(F.col("pivot").alias("p")).agg(F.count("*").alias("size"))
     sizes = stored(sizes.where(F.col("size") > REGION).select("p", F.ceil(F.col("size") / REGION).alias("blocks")), f"{scratch}/large")
     own = regions.join(sizes, F.col("pivot") == F.col("p"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -255,6 +266,8 @@ def links(docs: DataFrame, reps: DataFrame, scratch: str) -> DataFrame:
 
     at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
     sets = docs.select("doc_id", "text", at.alias("at")).mapInArrow(emit, "doc_id bigint, sig bigint, sig2 bigint, shingles binary")
+    own = stored(own, f"{scratch}/members")
+    own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
     shipped = sets.join(own, F.col("sig") == F.col("s")).select("pivot", "x", "y", "doc_id", "sig", "sig2", "shingles")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
