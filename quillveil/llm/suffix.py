@@ -35,7 +35,7 @@ HALF = REST // 2
 WIDTH = GRAM + HALF + REST
 PAD = 256
 PARTS = 1024
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Strings of one shard, and strings merged in one go (whole groups).
 SHARD, MERGED = 4096, 16384
 
