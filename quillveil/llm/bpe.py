@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 NONE = np.int32(2**31 - 1)
 #: Pieces longer than this have a tree of their own.
 WIDE = 64
-#: Pieces that a worker remembers before it starts afresh (bounds its memory).
-MEMO = 1_000_000
+#: Pieces that a worker remembers; beyond, those that its latest texts don't use are forgotten (bounds its memory).
+MEMO = 400_000
 #: Characters whose pieces are merged together.
 CHARS = 4_000_000
 
@@ -72,9 +72,10 @@ class Codec:
             split = [self.pieces(text) for text in texts[at:end]]
             wanted = set().union(*split)
             if missing := [p for p in wanted if p not in memo]:
-                if len(memo) + len(missing) > MEMO:
+                if len(memo) + len(missing) > MEMO:  # what these texts use stays, the common pieces among it
+                    stay = {p: memo[p] for p in wanted if p in memo}
                     memo.clear()
-                    missing = list(wanted)
+                    memo.update(stay)
                 memo.update(zip(missing, self._merge_all([p.encode() for p in missing]), strict=True))
             for pieces in split:
                 yield b"".join(map(memo.__getitem__, pieces))
