@@ -31,7 +31,7 @@ KEEP = 0.99
 LABELS = 1 << 18
 #: Parts in which a model's counts are shuffled.
 PARTS = 64
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 KIND = texthash.classes(b" \t\n\r\x0b\x0c", others=True)
 _LOW = np.uint64((1 << 40) - 1)
