@@ -1,13 +1,15 @@
 """Importance resampling: hashed n-gram models of target and raw text, and a Gumbel top-k sample by their ratio.
 
-Features of a text are hashed to `BUCKETS`: its distinct words (runs of letters and digits, or of other ASCII), and for
-n-grams of one to three words how often they repeat within it (by powers of two). A model holds, for each bucket, the
-number of texts that have it: in all documents (raw), and in those labelled as wanted (target).
-
-A text's log importance is the sum of its features' log ratios over the square root of their number. Each ratio is
-taken without the text's own count, so that a rare word isn't held against the text that brings it, and moved towards 0
-by `SURE` standard errors, so that chance counts weigh nothing. Gumbel noise of a small temperature, fixed by
-document id and seed, makes the k largest keys a sample without replacement that favours wanted text.
+Features of a text are hashed to `BUCKETS`, a third of them for each n: its distinct n-grams of one to three words (runs of
+letters and digits, or of other ASCII), and how often n-grams repeat within it (by powers of two). A model holds, for each
+bucket, the number of texts that have it: in all documents (raw), and in those labelled as wanted (target).
+
+A text's log importance for each n is the sum of its features' log ratios over the square root of their number. The least
+of the three counts, each measured from the mean and by the spread of the target's texts: words, pairs or triples alone
+can give a text away, and the many n-grams that tell nothing don't drown the words that do. Each ratio is taken without
+the text's own count, so that a rare word isn't held against the text that brings it, and moved towards 0 by `SURE`
+standard errors, so that chance counts weigh nothing. Gumbel noise of a small temperature, fixed by document id and
+seed, makes the k largest keys a sample without replacement that favours wanted text.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 from . import texthash
 from .common import stored
 
-BUCKETS = 1 << 20
+ORDERS = (1, 2, 3)
+#: Each n has its own 1 << 20: among the many triples, words would lose what they tell.
+WIDTH = 1 << 20
+BUCKETS = len(ORDERS) * WIDTH
 SURE = 2.0
 TEMPERATURE = 0.005
 #: Share of labelled wanted documents that the sample size is to keep.
@@ -37,20 +42,24 @@ KIND = texthash.classes(b" \t\n\r\x0b\x0c", others=True)
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and text numbers of all features; each feature once a text."""
-    tokens, found = texthash.Tokens(texts, KIND), []
-    for n in (1, 2, 3):
+def _of_order(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n-grams of one, two and three words: buckets and text numbers of their features; each feature once a text."""
+    tokens = texthash.Tokens(texts, KIND)
+    for n in ORDERS:
         h, text = tokens.grams(n)
         each, times = np.unique((h & _LOW) | (text.astype(np.uint64) << np.uint64(40)), return_counts=True)
         of = (each >> np.uint64(40)).astype(np.int64)
-        if n == 1:
-            found.append((each & _LOW, of))
         again = times > 1
         level = np.unique(of[again] * 64 + np.log2(times[again]).astype(np.int64))
-        found.append(((level % 64 + 1).astype(np.uint64) * np.uint64(4) + np.uint64(n), level // 64))
-    bucket = texthash._mix(np.concatenate([x for x, _ in found])) % np.uint64(BUCKETS)
-    return bucket.astype(np.int64), np.concatenate([of for _, of in found])
+        repeats = (level % 64 + 1).astype(np.uint64) * np.uint64(4) + np.uint64(n)
+        bucket = texthash._mix(np.concatenate([each & _LOW, repeats])) % np.uint64(WIDTH)
+        yield bucket.astype(np.int64) + (n - 1) * WIDTH, np.concatenate([of, level // 64])
+
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and text numbers of all features, whatever their n."""
+    bucket, of = zip(*_of_order(texts), strict=True)
+    return np.concatenate(bucket), np.concatenate(of)
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -83,18 +92,17 @@ def fitted(docs: DataFrame, ids: np.ndarray, doc_id: str = "doc_id", text: str =
     width = BUCKETS // PARTS
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        sums, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
         for batch in batches:
             target = _among(shared.value, batch.column(0))
             n += (target.sum(), len(target))
             for a, b, texts in _texts(batch.column(1)):
-                bucket, of = features(texts)
-                sums[1] += np.bincount(bucket, minlength=BUCKETS)
-                if target[a:b].any():
-                    sums[0] += np.bincount(bucket[target[a:b][of]], minlength=BUCKETS)
-        if n[1]:
-            parts = [sums[:, k * width : (k + 1) * width].astype("<i8").tobytes() for k in range(PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()), pa.array([n.tobytes()] * PARTS, pa.binary())], names=["part", "sums", "n"])
+                for bucket, of in _of_order(texts):
+                    np.add.at(sums[1], bucket, 1)
+                    np.add.at(sums[0], bucket[target[a:b][of]], 1)
+        for k in range(PARTS if n[1] else 0):
+            part = sums[:, k * width : (k + 1) * width].astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["part", "sums", "n"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -124,10 +132,10 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, share: float) -> np.ndarray:
     return out
 
 
-def scored(docs: DataFrame, ids: np.ndarray, seed: int = 0, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, ids: np.ndarray, scratch: str, seed: int = 0, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add log_weight (double) and key (log_weight with Gumbel noise) to each row; `keep`: the columns to hand on (None: all).
 
-    A text without features (null, empty) has log_weight 0. Repeated rows have equal keys. Columns named
+    A text without features (null, empty), or whose features tell nothing, has log_weight 0. Repeated rows have equal keys. Columns named
     log_weight or key are replaced.
     """
     target, raw, n_target, n = fitted(docs, ids, doc_id, text)
@@ -136,20 +144,26 @@ def scored(docs: DataFrame, ids: np.ndarray, seed: int = 0, doc_id: str = "doc_i
     shared, own = spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast(ids)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("log_weight", "key")]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(doc_id).cast("long").alias("__q_id"), F.col(text).cast("string").alias("__q_text"))
+    orders = [f"__q_{n}" for n in ORDERS]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            target, score = _among(own.value, batch.column(len(keep))).astype(np.int64), np.zeros(batch.num_rows)
+            target, score = _among(own.value, batch.column(len(keep))).astype(np.int64), np.zeros((len(ORDERS), batch.num_rows))
             for a, b, texts in _texts(batch.column(len(keep) + 1)):
-                bucket, of = features(texts)
-                n = np.bincount(of, minlength=b - a)
-                score[a:b] = np.bincount(of, weights=shared.value[target[a:b][of], bucket], minlength=b - a) / np.sqrt(np.maximum(n, 1))
+                for k, (bucket, of) in enumerate(_of_order(texts)):
+                    n = np.bincount(of, minlength=b - a)
+                    score[k, a:b] = np.bincount(of, weights=shared.value[target[a:b][of], bucket], minlength=b - a) / np.sqrt(np.maximum(n, 1))
             id_hash = texthash._mix(np.array([0 if x is None else x for x in batch.column(len(keep)).to_pylist()], np.int64).astype(np.uint64) + np.uint64(seed) * np.uint64(2654435761) + np.uint64(1))
             u = ((id_hash >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score), pa.array(score - TEMPERATURE * np.log(-np.log(u)))], names=[*keep, "log_weight", "key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, score), pa.array(-TEMPERATURE * np.log(-np.log(u))), pa.array(target > 0)], names=[*keep, *orders, "__q_noise", "__q_own"])
 
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "log_weight double", "key double"])
-    return rows.mapInArrow(work, schema)
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} double" for c in orders), "__q_noise double", "__q_own boolean"])
+    parts = stored(rows.mapInArrow(work, schema), f"{scratch}/scored")
+    own_parts = parts.where("__q_own").agg(*(F.avg(c) for c in orders), *(F.stddev_pop(c) for c in orders)).first()
+    mean, spread = [x or 0.0 for x in own_parts[: len(orders)]], [max(x or 0.0, TEMPERATURE) for x in own_parts[len(orders) :]]  # smaller spreads drown in the noise
+    weight = F.least(*((F.col(c) - F.lit(m)) * F.lit(spread[0] / x) for c, m, x in zip(orders, mean, spread, strict=True)))
+    weight = F.when(F.greatest(*(F.abs(c) for c in orders)) > 0, weight).otherwise(F.lit(0.0))
+    return parts.select(*(F.col(f"`{c}`") for c in keep), weight.alias("log_weight"), (weight + F.col("__q_noise")).alias("key"))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
@@ -183,7 +197,7 @@ def resampled(docs: DataFrame, labels: DataFrame, wanted, scratch: str, seed: in
     wanted documents; where none is labelled, all documents are kept.
     """
     ids = wanted_ids(labels, wanted, doc_id)
-    rows = stored(scored(docs, ids, seed, doc_id, text, keep if keep is None or doc_id in keep else [doc_id, *keep]), f"{scratch}/scored")
+    rows = scored(docs, ids, scratch, seed, doc_id, text, keep if keep is None or doc_id in keep else [doc_id, *keep])
     if k is None:
         known = docs.sparkSession.createDataFrame(pa.table({"__known": ids}))
         own = rows.join(known, F.col(doc_id) == F.col("__known"), "left_semi")

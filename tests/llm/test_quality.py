@@ -52,3 +52,22 @@ def test_empty_tables_and_texts(spark, scratch):
     docs = spark.createDataFrame([(1, None), (None, "x y"), (2, ""), (2, "")], "doc_id long, text string")
     assert quality.resampled(docs, labels, WANTED, scratch).where("kept").count() == 4
     assert quality.resampled(docs.limit(0), labels, WANTED, scratch + "2").count() == 0
+
+
+def test_ordinary_words_in_unwanted_phrases_go(spark, scratch):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(1500):
+        bad, text = i % 6 == 0, []
+        while len(text) < 60:
+            text += rnd.choice([[w] for w in words] + [["sun", "x", "moon"], ["moon", "x", "sun"]] * 3)
+        for at in range(0, 60, 12) if bad else ():
+            text[at : at + 2] = ["sun", "moon"]
+        rows.append((i, " ".join(text), bad))
+        if i % 2 or i % 4 == 0:
+            labels.append((i, 1, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad boolean")
+    out = quality.resampled(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), WANTED, scratch)
+    n = {(r.bad, r.kept): r["count"] for r in out.groupBy("bad", "kept").count().collect()}
+    assert n.get((True, True), 0) <= 5 and n[False, True] >= 0.97 * 1250
