@@ -6,7 +6,8 @@ bucket at any size; the number of tables follows from it, so that a pair at the
 a probability of `MISS` (pairs above it far less).
 
 Equal vectors are one class first. A linked pair of classes is counted in the first table in which they meet, so no pair
-is written down: a bucket gives each class the number of vectors it links to there, and a spanning tree of its links.
+is written down: a bucket gives each class the number of vectors it links to there, and a spanning tree of its links. A bucket of
+more than `LARGE` classes is cut into blocks, and each pair of blocks is a group of its own, which any task can take.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ COSINE = 0.95
 WIDTH = 2.0
 BUCKET = 64
 MISS = 0.001
-#: Vectors compared at once with all others of their bucket.
+#: Vectors on each side of a tile of comparisons.
 ROWS = 1024
+#: Classes of a bucket, or about so many of each of two blocks, that meet in one group.
+LARGE = 2048
+#: Large buckets up to this many are broadcast (counted first); beyond, Spark shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def _same_cell(distance: float) -> float:
@@ -54,8 +59,8 @@ def _unit(batch: pa.Array, d: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _hashed(classes: DataFrame, k: int, tables: int, seed: int) -> DataFrame:
-    """Rows (bucket, t, rep, n, keys, embedding): one for each class and table; `keys` has those of all tables."""
+def _hashed(classes: DataFrame, k: int, tables: int, seed: int, whole: bool = True) -> DataFrame:
+    """Rows (bucket, t, rep, n, keys, embedding): one for each class and table; `keys` has those of all tables. Else bucket and t alone."""
     made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,41 +79,68 @@ def _hashed(classes: DataFrame, k: int, tables: int, seed: int) -> DataFrame:
                     for i in range(k):
                         keys = (keys ^ cells[:, :, i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                         keys ^= keys >> np.uint64(29)
+                    if not whole:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64).ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(keys)))], names=["bucket", "t"])
+                        continue
                     short = (keys >> np.uint64(32)).astype(np.uint32)
                     all_keys = pa.array([row.tobytes() for row in short], pa.binary())
                     for t in range(tables):
                         yield pa.RecordBatch.from_arrays([pa.array(keys[:, t].astype(np.int64)), pa.array(np.full(some.num_rows, t, np.int32)), some.column(0), some.column(1), all_keys, some.column(2)], names=["bucket", "t", "rep", "n", "keys", "embedding"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    return classes.mapInArrow(work, f"bucket bigint, t int, rep bigint, n bigint, keys binary, embedding {kind}")
+    return classes.mapInArrow(work, "bucket bigint, t int" + (f", rep bigint, n bigint, keys binary, embedding {kind}" if whole else ""))
 
 
-def _linked(rows: DataFrame, cosine: float) -> DataFrame:
-    """(rep, links, root) from the buckets' rows, a bucket's rows in turn."""
-
-    def one(t: int, rep: np.ndarray, n: np.ndarray, keys: np.ndarray, v: np.ndarray) -> Iterator[tuple]:
-        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for at in range(0, len(rep), ROWS):
-            i, j = np.nonzero(v[at : at + ROWS] @ v[at:].T >= cosine)
-            i, j = i + at, j + at
-            i, j = i[i < j], j[i < j]
-            first = (keys[i] == keys[j]).argmax(1) == t
-            i, j = i[first], j[first]
+def _dealt(rows: DataFrame, hashed: DataFrame, scratch: str) -> DataFrame:
+    """`rows` with x, y and own: a group (t, bucket, x, y) has the blocks x and y of a bucket, `own` is the row's. Small buckets are one block.
+
+    `hashed` has bucket and t of all rows, to count by.
+    """
+    large = hashed.groupBy("t", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > LARGE)
+    large = stored(large.select(F.col("t").alias("l_t"), F.col("bucket").alias("l_bucket"), F.ceil(F.col("size") / LARGE).cast("int").alias("blocks")), f"{scratch}/large")
+    few = large.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(large) if few else large, (F.col("t") == F.col("l_t")) & (F.col("bucket") == F.col("l_bucket")), "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "embedding"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select("bucket", "t", "rep", "n", "keys", "embedding", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+
+
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the sets of i and j; `root` has each one's smallest member before and after."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _counted(t: int, n: np.ndarray, keys: np.ndarray, v: np.ndarray, sides: list[np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row and its set's smallest row: `sides` is one block (pairs within it) or two (pairs across)."""
+    links, root = np.zeros(len(n), np.int64), np.arange(len(n))
+    one, two = sides[0], sides[-1]
+    for at in range(0, len(one), ROWS):
+        a = one[at : at + ROWS]
+        for to in range(at if len(sides) == 1 else 0, len(two), ROWS):
+            b = two[to : to + ROWS]
+            i, j = np.nonzero(v[a] @ v[b].T >= cosine)
+            i, j = a[i], b[j]
+            if len(sides) == 1:
+                i, j = i[i < j], j[i < j]
+            for s in range(t):  # pairs that met in an earlier table count there
+                new = keys[i, s] != keys[j, s]
+                i, j = i[new], j[new]
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                a, b = find(a), find(b)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-        for i in np.flatnonzero(links).tolist():
-            yield int(rep[i]), int(links[i]), int(rep[find(i)])
+            _joined(root, i, j)
+    return links, root
+
+
+def _linked(rows: DataFrame, cosine: float) -> DataFrame:
+    """(rep, links, root) from the groups' rows, a group's rows in turn."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -121,8 +153,11 @@ def _linked(rows: DataFrame, cosine: float) -> DataFrame:
                 for d in np.unique(lengths).tolist():
                     g = group.filter(pa.array(lengths == d))
                     keys = np.frombuffer(b"".join(g.column("keys").to_pylist()), np.uint32).reshape(g.num_rows, -1)
-                    t = g.column("t")[0].as_py()
-                    out.extend(one(t, np.asarray(g.column("rep")), np.asarray(g.column("n")), keys, _unit(g.column("embedding").combine_chunks(), d)))
+                    x, y = g.column("x")[0].as_py(), g.column("y")[0].as_py()
+                    sides = [np.flatnonzero(np.asarray(g.column("own")) == block) for block in sorted({x, y})]
+                    links, root = _counted(g.column("t")[0].as_py(), np.asarray(g.column("n")), keys, _unit(g.column("embedding").combine_chunks(), d), sides, cosine)
+                    rep, met = np.asarray(g.column("rep")), np.flatnonzero(links)
+                    out.extend(zip(rep[met].tolist(), links[met].tolist(), rep[root[met]].tolist(), strict=True))
             held.clear()
 
         def made() -> pa.RecordBatch:
@@ -132,12 +167,12 @@ def _linked(rows: DataFrame, cosine: float) -> DataFrame:
 
         last = None
         for batch in batches:
-            bucket, t = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            edges = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (t[1:] != t[:-1])) + 1).tolist(), batch.num_rows]
+            parts = [np.asarray(batch.column(c)) for c in ("t", "bucket", "x", "y")]
+            edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in parts], axis=0)) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if a == b:
                     continue
-                key = (bucket[a], t[a])
+                key = tuple(c[a] for c in parts)
                 if held and key != last:
                     flush()
                 held.append(batch.slice(a, b - a))
@@ -149,7 +184,7 @@ def _linked(rows: DataFrame, cosine: float) -> DataFrame:
         if out:
             yield made()
 
-    rows = rows.repartition("t", "bucket").sortWithinPartitions("t", "bucket")
+    rows = rows.repartition("t", "bucket", "x", "y").sortWithinPartitions("t", "bucket", "x", "y")
     return rows.mapInArrow(work, "rep bigint, links bigint, root bigint")
 
 
@@ -165,7 +200,8 @@ def near_duplicates(vectors: DataFrame, scratch: str, cosine: float = COSINE, se
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "embedding")
     classes = stored(classes, f"{scratch}/classes")
     k, tables = shape(classes.count(), cosine)
-    found = stored(_linked(_hashed(classes, k, tables, seed), cosine), f"{scratch}/linked")
+    dealt = _dealt(_hashed(classes, k, tables, seed), _hashed(classes, k, tables, seed, whole=False), scratch)
+    found = stored(_linked(dealt, cosine), f"{scratch}/linked")
     # A vector can have several classes' smallest id only if ids repeat; links are then summed over them.
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), f"{scratch}/components")

@@ -47,3 +47,28 @@ def test_recall_at_the_threshold():
 def test_long_chains_are_one_component(spark, scratch):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 100), (None, 3), (200, 199)], "a long, b long")
     assert {tuple(r) for r in components(edges, scratch).collect()} == {(i, 0) for i in range(41)} | {(200, 199), (199, 199)}
+
+
+def test_a_dense_bucket_is_dealt_to_many_groups(spark, scratch, monkeypatch):
+    monkeypatch.setattr(embed, "LARGE", 64)
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal(16)
+    rows = [(i, (centre + rng.standard_normal(16) * 0.02).tolist()) for i in range(400)] + [(1000 + i, rng.standard_normal(16).tolist()) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_duplicates(df, scratch).collect()}
+    assert got == {i: (n, c) for i, n, c in brute(rows)[0]}
+    classes = df.selectExpr("vec_id AS rep", "1L AS n", "embedding")
+    dealt = embed._dealt(embed._hashed(classes, 3, 4, 0), embed._hashed(classes, 3, 4, 0, whole=False), scratch + "2").groupBy("t", "bucket", "x", "y").count().collect()
+    assert max(r["count"] for r in dealt) <= 3 * 64 and sum(r.x < r.y for r in dealt) > 4
+
+
+def test_a_dense_group_needs_little_memory():
+    import tracemalloc
+
+    n = 4000
+    v = np.tile([1.0, 0.0], (n, 1))
+    tracemalloc.start()
+    links, root = embed._counted(1, np.ones(n, np.int64), np.arange(2 * n, dtype=np.uint32).reshape(n, 2) // 2 * 2 + 1, v, [np.arange(n)], 0.95)
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000
+    tracemalloc.stop()
+    assert (links == n - 1).all() and (root == 0).all()
