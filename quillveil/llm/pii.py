@@ -1,11 +1,11 @@
 """Personal data: base patterns with exact offsets, and terms that would still reveal what was masked.
 
 All in DataFrame functions. The base kinds are found by regular expressions and checked; offsets are code points. The
-information-theoretic part then asks, for each protected value e and each term t of its contexts, how much of e's
+information-theoretic part then asks, for each protected value e and each term t of the texts that hold it, how much of e's
 information t reveals: share = PMI(t; e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)), with document counts
 over the whole corpus. In documents that hold e, terms with a share of `GENERALISE` or more are replaced by
-a general label, those of `REMOVE` or more are deleted. A term counts only if at least `SUPPORT` different contexts of
-e have it, so that mere copies of one document say nothing.
+a general label, those of `REMOVE` or more are deleted. A term counts only if at least `SUPPORT` different texts that
+hold e have it, so that mere copies of one document say nothing.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ PATTERNS = {
 _GATES = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), "phone": lambda t: t.contains("+")}
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 
-REACH = 60
-LEAST_LETTERS = 4
 SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.95
 #: Candidate terms up to this many are broadcast (counted first); beyond, Spark shuffles.
@@ -95,30 +93,33 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{LEAST_LETTERS},}}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}++"), F.lit(0)))
 
 
 def disclosing_terms(base: DataFrame, corpus: DataFrame, scratch: str) -> DataFrame:
     """(doc_id, text_hash, terms): for documents with protected values, the terms to `term` (generalise) or to have `removed`.
 
-    `base` has doc_id, text_hash, spans and contexts; `corpus` the texts of all documents.
+    `base` has doc_id, text_hash and spans of each document; `corpus` the texts, of repeated rows too.
     """
-    mentions = base.where(F.size("spans") > 0).select("doc_id", "text_hash", F.explode(F.arrays_zip("spans", "contexts")).alias("m"))
-    value = F.when(F.col("m.spans.kind") == "email", F.lower("m.spans.value")).when(F.col("m.spans.kind") == "ip", F.col("m.spans.value")).otherwise(_digits(F.col("m.spans.value")))
-    mentions = mentions.select("doc_id", "text_hash", F.concat_ws(":", "m.spans.kind", value).alias("value"), F.xxhash64("m.contexts").alias("context"), _terms(F.col("m.contexts")).alias("terms"))
-    mentions = stored(mentions, f"{scratch}/mentions")
+    mentions = base.where(F.size("spans") > 0).select("doc_id", "text_hash", F.explode("spans").alias("m"))
+    value = F.when(F.col("m.kind") == "email", F.lower("m.value")).when(F.col("m.kind") == "ip", F.col("m.value")).otherwise(_digits(F.col("m.value")))
+    holders = stored(mentions.select(F.concat_ws(":", "m.kind", value).alias("value"), "doc_id", "text_hash").distinct(), f"{scratch}/mentions")
     total = base.count()
-    holders = mentions.select("value", "doc_id", "text_hash").distinct()
-    per_value = holders.groupBy("value").agg(F.count("*").alias("n_value"))
-    pairs = mentions.select("value", "context", "doc_id", "text_hash", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("value", "term").agg(F.countDistinct("context").alias("support"), F.countDistinct("doc_id", "text_hash").alias("n_both")).where(F.col("support") >= SUPPORT)
+    in_text = holders.groupBy("value", "text_hash").agg(F.count("*").alias("n_docs"))
+    per_value = in_text.groupBy("value").agg(F.sum("n_docs").alias("n_value"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
+    per_value = stored(per_value, f"{scratch}/values")
+    held = in_text.join(per_value.select("value"), "value", "left_semi").groupBy("text_hash").agg(F.collect_list(F.struct("value", "n_docs")).alias("held"))
+    held = stored(held.withColumnRenamed("text_hash", "h_hash"), f"{scratch}/held")
+    texts = corpus.join(held, F.col("text_hash") == F.col("h_hash")).select("text_hash", "text", "held").dropDuplicates(["text_hash"])
+    pairs = texts.select("held", F.explode(_terms(F.col("text"))).alias("term")).select("term", F.explode("held").alias("h"))
+    pairs = pairs.groupBy(F.col("h.value").alias("value"), "term").agg(F.count("*").alias("support"), F.sum("h.n_docs").alias("n_both")).where(F.col("support") >= SUPPORT)
     pairs = stored(pairs, f"{scratch}/pairs")
     wanted = stored(pairs.select("term").distinct(), f"{scratch}/terms")
     n = wanted.count()
     if not n:
         return base.limit(0).select("doc_id", "text_hash", F.array().cast("array<struct<term:string,action:string>>").alias("terms"))
     own = wanted.select(F.col("term").alias("own"))
-    words = corpus.select(F.explode(_terms(F.col("text"))).alias("word"))
+    words = corpus.dropDuplicates(["doc_id", "text_hash"]).select(F.explode(_terms(F.col("text"))).alias("word"))
     per_term = words.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, F.col("word") == F.col("own")).groupBy("own").agg(F.count("*").alias("n_term"))
     scored = pairs.join(per_value, "value").join(per_term, F.col("term") == F.col("own"))
     share = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_value"))) / F.log(F.lit(float(total)) / F.col("n_value"))
@@ -136,15 +137,13 @@ def spans(docs: DataFrame, scratch: str, doc_id: str = "doc_id", text: str = "te
     """
     rows = _keyed(docs, doc_id, text)
     found = rows.withColumn("spans", base_spans(F.col("text")))
-    left = lambda s: F.regexp_replace(F.substr("text", F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))), r"^\p{L}+", "")
-    right = lambda s: F.regexp_replace(F.substr("text", s["end"] + 1, F.lit(REACH)), r"\p{L}+$", "")
-    found = found.withColumn("contexts", F.transform("spans", lambda s: F.concat(left(s), F.lit(" "), right(s))))
-    base = stored(found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"), F.first("contexts").alias("contexts")), f"{scratch}/base")
+    base = stored(found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans")), f"{scratch}/base")
     terms = disclosing_terms(base, rows, scratch)
     terms = terms.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "terms")
     told = rows.join(terms, _same(rows, terms)).select("doc_id", "text_hash", "text", "terms")
-    named = F.transform(F.filter(located(F.col("text"), r"\p{L}++"), lambda s: F.exists("terms", lambda t: t["term"] == F.lower(s["value"]))), lambda s: F.struct(
-        F.get(F.filter("terms", lambda t: t["term"] == F.lower(s["value"])), F.lit(0))["action"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    actions = F.map_from_entries("terms")
+    action = lambda s: F.try_element_at(actions, F.lower(s["value"]))
+    named = F.transform(F.filter(located(F.col("text"), r"\p{L}++"), lambda s: action(s).isNotNull()), lambda s: F.struct(action(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     told = told.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
     told = told.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), named.alias("named"))
     out = base.join(told, _same(base, told), "left")

@@ -39,3 +39,14 @@ def test_terms_that_reveal_an_entity(spark, scratch):
     assert out[0].text == "Zu alpha reachable  at [EMAIL] ok 0" and out[2].text == "Zu alpha reachable [TERM] at [EMAIL] ok 2"
     assert out[4].text == "Zu xx reachable Other at [EMAIL] ok 4" and out[100].text == rows[5][1] and out[0].spans == "k"
     assert pii.sanitised(df.limit(0), scratch + "2").count() == 0
+
+
+def test_terms_far_off_short_or_in_repeated_rows(spark, scratch):
+    gap = "reachable alpha beta gamma words ok " * 5
+    rows = [(i, f"Wumbolino {gap} {i} at jo@x.com", "k") for i in range(2)] + [(10 + i, f"{i} \u738b\u4f1f: ky@x.com", "k") for i in range(2)]
+    rows += [(20 + i, f"Zarquon {i} at zq@x.com", "k") for i in range(2) for _ in range(40)]
+    rows += [(100 + i, "reachable alpha beta gamma words ok at com x", "k") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = {r.doc_id: r.text for r in pii.sanitised(df, scratch).collect()}
+    assert "Wumbolino" not in out[0] and "Wumbolino" not in out[1] and gap in out[0]
+    assert "\u738b\u4f1f" not in out[10] and "Zarquon" not in out[20] and out[100] == rows[-1][1]
