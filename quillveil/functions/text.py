@@ -9,21 +9,43 @@ from ..config import CONTEXT_SHOWN
 MATCH = "array<struct<start:int,end:int,value:string>>"
 
 
+#: Matches in one block: arrays grow by copying, so a long text's matches are placed block by block.
+BLOCK = 512
+
+
 def located(text: Column, pattern: str) -> Column:
     """(start, end, value) of a pattern's leftmost non-overlapping matches, in code points; the pattern never matches nothing.
 
-    The same pattern splits off what lies between the matches, and running sums of lengths give exact places.
+    The same pattern splits off what lies between the matches, and running sums of lengths give exact places: over blocks
+    of `BLOCK` matches first, then within each, so that the cost stays in proportion to the text.
     """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("done"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["value"])
-        own = F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value"))
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc["done"], F.array(own)).alias("done")))
+    def moved(at: Column, x: Column) -> Column:
+        return at + F.length(x["gap"]) + F.coalesce(F.length(x["value"]), F.lit(0))
+
+    def cut(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(BLOCK)), lambda i: F.slice(pairs, i + 1, F.lit(BLOCK)))
+        return F.transform(blocks, lambda b: F.struct(b.alias("block"), F.aggregate(b, F.lit(0), moved).alias("size")))
+
+    def begun(acc: Column, b: Column) -> Column:
+        return F.struct((acc["at"] + b["size"]).alias("at"), F.concat(acc["done"], F.array(F.struct(acc["at"].alias("at"), b["block"].alias("block")))).alias("done"))
+
+    def placed(b: Column) -> Column:
+        start = F.struct(b["at"].alias("at"), F.array().cast(MATCH).alias("done"))
+
+        def step(acc: Column, x: Column) -> Column:
+            first = acc["at"] + F.length(x["gap"])
+            end = first + F.length(x["value"])
+            own = F.struct(first.alias("start"), end.alias("end"), x["value"].alias("value"))
+            return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["done"], F.array(own)).alias("done")))
+
+        return F.aggregate(b["block"], start, step, lambda acc: acc["done"])
 
-    return F.coalesce(F.aggregate(pairs, start, step, lambda acc: acc["done"]), F.array().cast(MATCH))
+    none = F.array().cast("array<struct<at:int,block:array<struct<gap:string,value:string>>>>")
+    blocks = F.get(F.transform(F.array(pairs), cut), F.lit(0))  # binds the pairs: else each block would scan the text anew
+    blocks = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("done")), begun, lambda acc: acc["done"])
+    return F.coalesce(F.flatten(F.transform(blocks, placed)), F.array().cast(MATCH))
 
 
 def find_all(text: Column, needle: str) -> Column:
