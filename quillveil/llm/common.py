@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,28 +20,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor can reach.
 
-    Only where the session names none (tests on one machine) is a temporary folder made and set.
+    Only where the session names none and all runs on this machine (tests) is a temporary folder made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-quillveil-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/quillveil-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: a finished write's shuffle files go at once, not when the driver happens to collect its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again."""
-    df.write.parquet(path)
+    """Cut the lineage: write to the shared folder and read again. The write's shuffle files are gone afterwards."""
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished work that nothing refers to, which it else does at some later time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def freed(spark: SparkSession, *paths: str) -> None:
+    """Give back the space of stored tables that no frame in use reads any more: an empty table takes their place."""
+    for path in paths:
+        spark.range(0, numPartitions=1).write.mode("overwrite").parquet(path)
+
+
+def parts_for(n: int, each: int) -> int:
+    """Parts for n values of about `each`: in proportion to the input, 64 at least."""
+    return max(64, -(-n // each))
 
 
 def ascii_lower(text):
     """Lower-case A-Z alone; `lower` is the same and faster where a text is all ASCII."""
     text = F.coalesce(text, F.lit(""))
     return F.when(~text.rlike("[^\\x00-\\x7F]"), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def copies(df: DataFrame, n: str, block: int = 4096) -> DataFrame:
+    """Each row `n` times (that column goes), by way of blocks, so that no row's copies are one large array."""
+    left = F.col(n) - F.col("__block") * block
+    rows = df.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / block))))
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.least(left, F.lit(block)).cast("int")))).drop(n, "__block", "__copy")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, copies, freed, stored
 
 WINDOW, GRAM = 10, 5
 #: Fingerprints of all items, as long values, up to this many are broadcast (counted first); beyond, Spark shuffles.
@@ -60,7 +60,7 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text")
 def hits(docs: DataFrame, items: DataFrame, scratch: str, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """For each document (doc_id, text_hash): n_words, n_hit, items (ids as strings), spans of hit words.
 
-    A document is a distinct pair of id and text: repeated rows are one. Null and wordless texts have no words and no
+    Repeated rows are worked on once and returned as often as they come. Null and wordless texts have no words and no
     hits; null ids are an id like others. Other columns are left out, whatever their names. Without items, all is clean.
     """
     windows = stored(item_windows(items, item_id, item_text), f"{scratch}/windows")
@@ -75,7 +75,7 @@ def hits(docs: DataFrame, items: DataFrame, scratch: str, doc_id: str = "doc_id"
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     rows = rows.join(known, F.col("fp") == F.col("known"), "left").where("fp IS NULL OR known IS NOT NULL")
-    rows = rows.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.collect_set("known").alias("fps"))
+    rows = rows.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.collect_set("known").alias("fps"), F.count_if(F.col("fp").isNull()).alias("n_rows"))
     rows = stored(rows, f"{scratch}/flagged")
 
     flagged = rows.where(F.size("fps") > 0).select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "fps")
@@ -86,7 +86,7 @@ def hits(docs: DataFrame, items: DataFrame, scratch: str, doc_id: str = "doc_id"
         part = again.select("doc_id", "text_hash", "words", F.explode(at).alias("at"))
         part = part.select("doc_id", "text_hash", "at", F.lit(size).alias("n"), F.array_join(F.slice("words", F.col("at") + 1, size), " ").alias("w"))
         found = part if found is None else found.unionByName(part)
-    out = rows.select("doc_id", "text_hash", "n_words")
+    out = copies(rows.select("doc_id", "text_hash", "n_words", "n_rows"), "n_rows")
     if found is None:
         return out.select("*", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     found = found.join(windows.select("window", "size", "items"), (F.col("w") == F.col("window")) & (F.col("n") == F.col("size")))
@@ -117,6 +117,7 @@ def clean(docs: DataFrame, items: DataFrame, scratch: str, **columns) -> DataFra
     """The rows of `docs` that share no window with an item, all columns as they were."""
     doc_id, text = columns.get("doc_id", "doc_id"), columns.get("text", "text")
     bad = hits(docs, items, scratch, **columns).where("n_hit > 0").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
-    bad = stored(bad, f"{scratch}/contaminated")
+    bad = stored(bad.distinct(), f"{scratch}/contaminated")
+    freed(docs.sparkSession, f"{scratch}/windows", f"{scratch}/flagged")
     same = docs[doc_id].eqNullSafe(bad["__bad_id"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == bad["__bad_hash"])
     return docs.join(bad, same, "left_anti")

@@ -10,8 +10,8 @@ ends of each link meet in one region.
 Within a region the join goes on by pivots: those within the radius r = 0.2 of a pivot are linked to it and, for
 their component, done with each other; a document at distance d of the pivot can link to one at distance e only
 if |d - e| <= r, so only documents up to 2r (the boundary) meet members of the ball, each in its own window; all
-outside the ball are joined recursively around the next pivot. Regions of more than `REGION` sets are cut into blocks
-whose pairs are tasks of their own.
+outside the ball are joined recursively around the next pivot. Regions of more than `REGION` sets or `BYTES` of text are cut into
+blocks whose pairs are tasks of their own.
 """
 
 from __future__ import annotations
@@ -24,20 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import texthash
-from .common import released, stored
+from .common import freed, parts_for, stored
 from .components import components
 
 SHINGLE = 5
 KIND = texthash.classes(b" \t\n\x0b\x0c\r", others=False)
 CHUNK = 500_000
-PARTS = 1024
-#: Shingles of fewer documents are never common; of more, at most `COMMON` are known as such: a bound on what is broadcast.
+#: Values in one part of a shuffle, about: parts grow in number with the input, not in size.
+EACH = 1_000_000
+#: Shingles of fewer documents are never common; of more, at most `COMMON` (those of most documents) are known as such: a bound on
+#: what is broadcast. It orders the shingles, and any order gives the same links.
 RARE, COMMON = 32, 1 << 21
-REGION = 4096
-#: Bits in which the documents of all regions are marked; full bits cost shuffling, never a result.
-MARKS = 1 << 25
-#: Memberships in regions up to this many are broadcast (counted first); beyond, the sets are shuffled once more.
-BROADCAST_ROWS = 1_000_000
+#: Sets, and bytes of text, in one block of a region.
+REGION, BYTES = 4096, 32 << 20
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -72,7 +71,7 @@ def _parted(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(part, kind="stable")
     part = part[order]
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(part))
+    ends = np.append(starts[1:], len(part))[: len(starts)]
     blobs = [pa.array([c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for c in (c[order] for c in columns)]
     return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), *blobs], names=["part", *(f"c{i}" for i in range(len(columns)))])
 
@@ -92,8 +91,15 @@ def _by_part(batches: Iterable[pa.RecordBatch], kinds: list[str]) -> Iterator[li
         yield [np.frombuffer(b"".join(x), k) for x, k in zip(held, kinds, strict=True)]
 
 
-def common_shingles(docs: DataFrame, scratch: str) -> tuple[np.ndarray, np.ndarray]:
-    """(upper 32 hash bits, count) of the shingles of most documents, sorted by hash: `COMMON` at most."""
+def common_shingles(docs: DataFrame, scratch: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(upper 32 hash bits, count) of the shingles of most documents, sorted by hash: `COMMON` at most.
+
+    Counts are added up within each task's buffers before they are shuffled, so that a shingle of very many documents is few rows.
+    """
+
+    def made(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return _parted((h.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32), h, n.astype(np.uint32))
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,25 +108,27 @@ def common_shingles(docs: DataFrame, scratch: str) -> tuple[np.ndarray, np.ndarr
                 held.append((s >> np.uint64(32)).astype(np.uint32))
                 size += len(s)
                 if size > 1_000_000:
-                    h = np.concatenate(held)
-                    yield _parted(h >> np.uint32(22), h)
+                    yield made(held)
                     held, size = [], 0
-            if size:
-                h = np.concatenate(held)
-                yield _parted(h >> np.uint32(22), h)
+            if held:
+                yield made(held)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h,) in _by_part(batches, ["<u4"]):
-            h, n = np.unique(h, return_counts=True)
+        for h, times in _by_part(batches, ["<u4", "<u4"]):
+            order = np.argsort(h, kind="stable")
+            h, times = h[order], times[order].astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, n = h[starts], np.add.reduceat(times, starts)
             often = n >= RARE
             if often.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[often].astype(np.int64)), pa.array(n[often])], names=["h", "n"])
 
-    rows = docs.mapInArrow(emit, "part int, c0 binary").repartition("part").sortWithinPartitions("part").mapInArrow(count, "h bigint, n bigint")
+    rows = docs.mapInArrow(emit, "part int, c0 binary, c1 binary").repartition("part").sortWithinPartitions("part").mapInArrow(count, "h bigint, n bigint")
     rows = stored(rows, f"{scratch}/common")
     if rows.count() > COMMON:
         rows = rows.orderBy(F.desc("n"), "h").limit(COMMON)
     got = rows.toPandas()  # bounded by COMMON
+    freed(docs.sparkSession, f"{scratch}/common")
     order = np.argsort(got["h"].to_numpy(np.int64))
     return got["h"].to_numpy(np.int64)[order].astype(np.uint32), got["n"].to_numpy(np.int64)[order]
 
@@ -136,13 +144,13 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.argsort(rank, kind="stable")[:most]]
 
 
-def cells(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(sig, pivot): the regions of each set, by the first half of its signature."""
+def cells(docs: DataFrame, common: np.ndarray, counts: np.ndarray, parts: int) -> DataFrame:
+    """(sig, pivot): the regions of each set, by the first half of its signature. Copies within a task's buffer count once."""
     shared = docs.sparkSession.sparkContext.broadcast((common, counts))
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
+            held, size, seen = [], 0, set()
 
             def made() -> pa.RecordBatch:
                 key = np.concatenate([k for k, _, _ in held])
@@ -150,15 +158,17 @@ def cells(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
                 sig = np.repeat(np.array([s for _, s, _ in held], np.int64), times)
                 n = np.repeat(np.array([n for _, _, n in held], np.uint32), times)
                 at = np.concatenate([np.arange(t, dtype=np.uint32) for t in times])
-                return _parted((key >> np.uint64(12)) % np.uint64(PARTS), key, sig, n, at)
+                return _parted((key >> np.uint64(12)) % np.uint64(parts), key, sig, n, at)
 
             for _, s in _sets(batch, 1):
-                if len(s):
-                    held.append((prefix(s, *shared.value), signature(s)[0], len(s)))
+                sig = signature(s)[0]
+                if len(s) and sig not in seen:
+                    seen.add(sig)
+                    held.append((prefix(s, *shared.value), sig, len(s)))
                     size += len(held[-1][0])
                 if size > 500_000:
                     yield made()
-                    held, size = [], 0
+                    held, size, seen = [], 0, set()
             if held:
                 yield made()
 
@@ -234,41 +244,24 @@ def region_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
     return out
 
 
-def links(docs: DataFrame, reps: DataFrame, scratch: str) -> DataFrame:
-    """(a, b): links between distinct sets, by the ids of their representatives, enough of them to connect all components."""
-    spark = docs.sparkSession
-    common = common_shingles(docs, scratch)
-    released(spark)
-    regions = stored(cells(docs, *common), f"{scratch}/regions")
-    released(spark)
-    sizes = regions.groupBy(F.col("pivot").alias("p")).agg(F.count("*").alias("size"))
-    sizes = stored(sizes.where(F.col("size") > REGION).select("p", F.ceil(F.col("size") / REGION).alias("blocks")), f"{scratch}/large")
-    own = regions.join(sizes, F.col("pivot") == F.col("p"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = own.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
-    own = own.select("sig", "pivot", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    own = own.select(F.col("sig").alias("s"), "pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-
-    chosen = reps.join(regions.select(F.col("sig").alias("s")).distinct(), F.col("sig") == F.col("s"), "left_semi")
-    marks = np.zeros(MARKS // 8, np.uint8)
-    bits = chosen.select((F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)) / 8).cast("int").alias("byte"), F.pow(F.lit(2), F.pmod(F.xxhash64("doc_id"), F.lit(8))).cast("int").alias("bit"))
-    bits = bits.groupBy("byte").agg(F.bit_or("bit").alias("v")).toPandas()  # a row a byte of the marks at most
-    marks[bits["byte"].to_numpy()] = bits["v"].to_numpy()
-    shared = spark.sparkContext.broadcast(marks)
+def links(docs: DataFrame, reps: DataFrame, scratch: str, n_shingles: int) -> DataFrame:
+    """(a, b): links between distinct sets, by the ids of their representatives, enough of them to connect all components.
 
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.asarray(batch.column(2))
-            wanted = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            some = batch.filter(pa.array(wanted))
-            got = [(some.column(0)[i].as_py(), *signature(s), s.tobytes()) for i, s in _sets(some, 1) if len(s)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "sig", "sig2", "shingles"])
-
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
-    sets = docs.select("doc_id", "text", at.alias("at")).mapInArrow(emit, "doc_id bigint, sig bigint, sig2 bigint, shingles binary")
+    `reps` has doc_id, sig, sig2 and n_bytes of each distinct set, n_shingles is their sum over all documents. Texts are brought to
+    their regions by id, and only those of representatives with a region; the sets are made there.
+    """
+    spark, parts = docs.sparkSession, parts_for(n_shingles, EACH)
+    common = common_shingles(docs, scratch, parts)
+    regions = stored(cells(docs, *common, parts), f"{scratch}/regions")
+    member = regions.join(reps.withColumnRenamed("sig", "s"), F.col("sig") == F.col("s")).select("doc_id", "sig", "n_bytes", "pivot")
+    sizes = member.groupBy(F.col("pivot").alias("p")).agg(F.greatest(F.ceil(F.count("*") / REGION), F.ceil(F.sum("n_bytes") / BYTES)).alias("blocks"))
+    sizes = stored(sizes.where("blocks > 1"), f"{scratch}/large")
+    own = member.join(sizes, F.col("pivot") == F.col("p"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = own.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    own = own.select("doc_id", "sig", "pivot", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    own = own.groupBy(F.col("doc_id").alias("d"), F.col("sig").alias("s")).agg(F.collect_set(F.struct("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))).alias("regions"))
     own = stored(own, f"{scratch}/members")
-    own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
-    shipped = sets.join(own, F.col("sig") == F.col("s")).select("pivot", "x", "y", "doc_id", "sig", "sig2", "shingles")
+    shipped = docs.join(own, F.col("doc_id") == F.col("d")).select("doc_id", "s", "text", F.explode("regions").alias("r")).select("r.pivot", "r.x", "r.y", "doc_id", "s", "text")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
@@ -279,38 +272,72 @@ def links(docs: DataFrame, reps: DataFrame, scratch: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for pivot, x, y, doc, sig, sig2, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (pivot, x, y) != last:
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True))
+            for at, s in _sets(batch, 5):
+                *region, doc, wanted = keys[at]
+                if region != last:
                     if len(held) > 1:
                         yield solved()
-                    held, last = {}, (pivot, x, y)
-                held[sig, sig2] = min(held.get((sig, sig2), (doc,))[0], doc), np.frombuffer(blob, "<u8")
+                    held, last = {}, region
+                sig, sig2 = signature(s)
+                if sig == wanted:  # else another text with this id
+                    held[sig, sig2] = min(held.get((sig, sig2), (doc,))[0], doc), s
         if len(held) > 1:
             yield solved()
 
     return shipped.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y").mapInArrow(join, "a bigint, b bigint")
 
 
-def joined(docs: DataFrame, scratch: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of `docs`.
-
-    Null and wordless texts have an empty set and link with nothing; rows with a null id have a null component and link
-    with nothing. Equal sets are one class (of the smallest id) before the join, repeated rows with them. Other
-    columns are left out. An empty table gives no rows.
-    """
+def _classes(docs: DataFrame, scratch: str, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, sig, sig2, component) for each row; the component is its set's, null without words or any id."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(len(s), *signature(s)) for _, s in _sets(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[k] for g in got], pa.int64()) for k in range(3))], names=["doc_id", "n_shingles", "sig", "sig2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(pa.array([g[k] for g in got], pa.int64()) for k in range(3))], names=["doc_id", "text_hash", "n_bytes", "n_shingles", "sig", "sig2"])
 
-    known = stored(rows.mapInArrow(measure, "doc_id bigint, n_shingles bigint, sig bigint, sig2 bigint"), f"{scratch}/sets")
-    reps = known.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"))
+    known = rows.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    known = stored(known.mapInArrow(measure, "doc_id bigint, text_hash bigint, n_bytes bigint, n_shingles bigint, sig bigint, sig2 bigint"), f"{scratch}/sets")
+    reps = known.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
     reps = stored(reps, f"{scratch}/classes")
-    found = stored(links(rows.where("doc_id IS NOT NULL"), reps, scratch), f"{scratch}/links")
+    total = known.agg(F.sum("n_shingles")).first()[0] or 0
+    found = stored(links(rows.where("doc_id IS NOT NULL"), reps, scratch, total), f"{scratch}/links")
     parts = components(found, f"{scratch}/components")
     classes = reps.join(parts, F.col("doc_id") == F.col("node"), "left")
     classes = stored(classes.select(F.col("sig").alias("s"), F.col("sig2").alias("s2"), F.coalesce("component", "doc_id").alias("component")), f"{scratch}/known")
-    out = known.join(classes, (F.col("sig") == F.col("s")) & (F.col("sig2") == F.col("s2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    freed(docs.sparkSession, *(f"{scratch}/{name}" for name in ("classes", "regions", "large", "members", "links")))
+    out = known.join(classes, (F.col("sig") == F.col("s")) & (F.col("sig2") == F.col("s2")) & (F.col("n_shingles") > 0), "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "sig", "sig2", "component")
+
+
+def joined(docs: DataFrame, scratch: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of `docs`.
+
+    Null and wordless texts have an empty set and link with nothing; rows with a null id have a null component and link
+    with nothing. Equal sets are one class (of the smallest id) before the join, repeated rows with them. Other
+    columns are left out. An empty table gives no rows.
+    """
+    out = _classes(docs, scratch, doc_id, text)
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, scratch: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns as they were, without near-duplicates: one row of each component.
+
+    It is one with the smallest id (then the smallest hash of its text); of equal rows of that id and text, any one. Rows without an id
+    count as copies of rows with an equal set alone, and stay only if none of those has an id. Rows without words all stay. An empty table gives no rows.
+    """
+    found = _classes(docs, scratch, doc_id, text).where("n_shingles > 0")
+    group = F.coalesce(F.col("component").cast("string"), F.concat_ws(":", "sig", "sig2"))
+    keys = found.groupBy(group.alias("of"), "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    keys = stored(keys, f"{scratch}/keys")
+    best = keys.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("best")).withColumnRenamed("of", "o")
+    first = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.hash"))
+    marks = keys.join(best, F.col("of") == F.col("o")).select(F.col("doc_id").alias("__j_id"), F.col("text_hash").alias("__j_hash"), first.alias("__j_first"), "n")
+    marks = stored(marks.where("NOT __j_first OR n > 1").drop("n"), f"{scratch}/marks")
+    freed(docs.sparkSession, *(f"{scratch}/{name}" for name in ("sets", "known", "keys")))
+    same = docs[doc_id].cast("long").eqNullSafe(marks["__j_id"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == marks["__j_hash"])
+    others = docs.join(marks, same, "left_anti")
+    again = docs.join(marks.where("__j_first"), same).withColumn("__j_key", F.struct("__j_id", "__j_hash"))
+    return others.union(again.dropDuplicates(["__j_key"]).select(docs.columns))

@@ -1,15 +1,12 @@
 """Importance resampling: hashed n-gram models of target and raw text, and a Gumbel top-k sample by their ratio.
 
-Features of a text are hashed to `BUCKETS`, a third of them for each n: its distinct n-grams of one to three words (runs of
-letters and digits, or of other ASCII), and how often n-grams repeat within it (by powers of two). A model holds, for each
-bucket, the number of texts that have it: in all documents (raw), and in those labelled as wanted (target).
-
-A text's log importance for each n is the sum of its features' log ratios over the square root of their number. The least
-of the three counts, each measured from the mean and by the spread of the target's texts: words, pairs or triples alone
-can give a text away, and the many n-grams that tell nothing don't drown the words that do. Each ratio is taken without
-the text's own count, so that a rare word isn't held against the text that brings it, and moved towards 0 by `SURE`
-standard errors, so that chance counts weigh nothing. Gumbel noise of a small temperature, fixed by document id and
-seed, makes the k largest keys a sample without replacement that favours wanted text.
+The models are bags of hashed words and pairs of words (runs of letters and digits, or of other ASCII). Target text is what is
+labelled as wanted, raw text all documents. Three generative views of a text are taken together: which words
+it holds (each once), how often it has each word, and how often each pair of neighbours. A gram's log ratio of target
+and raw probability is taken without the text's own share, so that a rare word isn't held against the text that brings it, and
+moved towards 0 by `SURE` standard errors (of document counts: a word that one text repeats is one observation), so
+that chance counts weigh nothing. A text's log importance is the sum over its grams; Gumbel noise of scale 1,
+fixed by document id and seed, makes the k largest keys a sample without replacement in proportion to importance.
 """
 
 from __future__ import annotations
@@ -22,44 +19,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import texthash
-from .common import stored
+from .common import freed, stored
 
-ORDERS = (1, 2, 3)
-#: Each n has its own 1 << 20: among the many triples, words would lose what they tell.
+ORDERS = (1, 2)
+#: Hash buckets of each n.
 WIDTH = 1 << 20
 BUCKETS = len(ORDERS) * WIDTH
-SURE = 2.0
-TEMPERATURE = 0.005
+SURE = 1.0
 #: Share of labelled wanted documents that the sample size is to keep.
 KEEP = 0.99
-#: Labelled rows used at most, those with the smallest hashes of their ids.
+#: Labelled rows used, about so many at most: those whose ids hash low.
 LABELS = 1 << 18
 #: Parts in which a model's counts are shuffled.
-PARTS = 64
+PARTS = 256
 CHUNK = 500_000
 
 KIND = texthash.classes(b" \t\n\r\x0b\x0c", others=True)
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def _of_order(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n-grams of one, two and three words: buckets and text numbers of their features; each feature once a text."""
-    tokens = texthash.Tokens(texts, KIND)
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, text number and count of each text's distinct words and pairs."""
+    tokens, out = texthash.Tokens(texts, KIND), []
     for n in ORDERS:
         h, text = tokens.grams(n)
         each, times = np.unique((h & _LOW) | (text.astype(np.uint64) << np.uint64(40)), return_counts=True)
-        of = (each >> np.uint64(40)).astype(np.int64)
-        again = times > 1
-        level = np.unique(of[again] * 64 + np.log2(times[again]).astype(np.int64))
-        repeats = (level % 64 + 1).astype(np.uint64) * np.uint64(4) + np.uint64(n)
-        bucket = texthash._mix(np.concatenate([each & _LOW, repeats])) % np.uint64(WIDTH)
-        yield bucket.astype(np.int64) + (n - 1) * WIDTH, np.concatenate([of, level // 64])
-
-
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and text numbers of all features, whatever their n."""
-    bucket, of = zip(*_of_order(texts), strict=True)
-    return np.concatenate(bucket), np.concatenate(of)
+        bucket = (texthash._mix(each & _LOW) % np.uint64(WIDTH)).astype(np.int64) + (n - 1) * WIDTH
+        out.append((bucket, (each >> np.uint64(40)).astype(np.int64), times))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -69,10 +56,13 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
 
 
 def wanted_ids(labels: DataFrame, wanted, doc_id: str = "doc_id", most: int = LABELS) -> np.ndarray:
-    """Sorted ids of the wanted documents among the `most` labelled ones with the smallest hashes: bounded, so collected."""
+    """Sorted ids of the wanted documents among about `most` labelled ones, by a threshold on the hashes of their ids:
+    bounded, so collected. An id that is labelled twice is wanted if all its labels say so."""
     wanted = F.expr(wanted) if isinstance(wanted, str) else wanted
-    rows = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.min(F.coalesce(wanted, F.lit(False))).alias("wanted"))
-    rows = rows.orderBy(F.xxhash64("id"), "id").limit(most).where("wanted")
+    rows = labels.where(F.col(doc_id).isNotNull())
+    share = min(1.0, most / max(1, rows.count()))
+    rows = rows.withColumn("__wanted", F.coalesce(wanted, F.lit(False))).where(F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
+    rows = rows.groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.every("__wanted").alias("wanted")).where("wanted")
     return np.sort(np.array([r[0] for r in rows.select("id").collect()], np.int64))
 
 
@@ -83,87 +73,95 @@ def _among(ids: np.ndarray, column: pa.Array) -> np.ndarray:
     return (ids[at] == values) & ~none if len(ids) else np.zeros(len(values), bool)
 
 
-def fitted(docs: DataFrame, ids: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Texts of target and of raw text that have each bucket, and the number of texts of each: counted over all documents.
+def fitted(docs: DataFrame, ids: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each bucket over all documents, and the totals behind them.
 
-    Each task counts its texts and hands on its sums in `PARTS` parts; the model has a fixed size.
+    The first has four rows: documents of target and raw text that have the bucket, and its occurrences in each. The second
+    has documents of target and raw text, and for each n their occurrences. Each task counts its texts and hands
+    on its sums in `PARTS` parts; the model has a fixed size, in single precision.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ids)
     width = BUCKETS // PARTS
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
+        sums, n = np.zeros((4, BUCKETS), np.int32), np.zeros(2, np.int64)
         for batch in batches:
             target = _among(shared.value, batch.column(0))
             n += (target.sum(), len(target))
             for a, b, texts in _texts(batch.column(1)):
-                for bucket, of in _of_order(texts):
-                    np.add.at(sums[1], bucket, 1)
-                    np.add.at(sums[0], bucket[target[a:b][of]], 1)
+                bucket, of, times = grams(texts)
+                own = target[a:b][of]
+                sums[0] += np.bincount(bucket[own], minlength=BUCKETS).astype(np.int32)
+                sums[1] += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
+                np.add.at(sums[2], bucket[own], times[own])
+                np.add.at(sums[3], bucket, times)
         for k in range(PARTS if n[1] else 0):
-            part = sums[:, k * width : (k + 1) * width].astype("<i8").tobytes()
+            part = sums[:, k * width : (k + 1) * width].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["part", "sums", "n"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for part, sums, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                new = [np.frombuffer(sums, "<i8"), np.frombuffer(n, "<i8")]
-                held[part] = [a + b for a, b in zip(held[part], new, strict=True)] if part in held else new
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x[0].tobytes() for x in held.values()], pa.binary()), pa.array([x[1].tobytes() for x in held.values()], pa.binary())], names=["part", "sums", "n"])
+                mine = held.setdefault(part, [np.zeros(4 * width, np.int64), np.zeros(2, np.int64)])
+                mine[0] += np.frombuffer(sums, np.int32)
+                mine[1] += np.frombuffer(n, np.int64)
+        for part, (sums, n) in held.items():
+            occurrences = sums.reshape(4, width)[2:].sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.astype(np.float32).tobytes()], pa.binary()), pa.array([np.concatenate([n, occurrences]).tobytes()], pa.binary())], names=["part", "sums", "n"])
 
     schema = "part int, sums binary, n binary"
     counted = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(count, schema)
-    model, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
-    for part, sums, seen in counted.repartition(PARTS, "part").mapInArrow(add, schema).collect():  # a fixed size
-        model[:, part * width : (part + 1) * width] = np.frombuffer(sums, "<i8").reshape(2, width)
-        n = np.frombuffer(seen, "<i8")
-    return model[0], model[1], int(n[0]), int(n[1])
+    model, totals = np.zeros((4, BUCKETS), np.float32), np.zeros((1 + len(ORDERS), 2), np.int64)
+    for part, sums, n in counted.repartition(PARTS, "part").mapInArrow(add, schema).collect():  # a fixed size
+        model[:, part * width : (part + 1) * width] = np.frombuffer(sums, np.float32).reshape(4, width)
+        n = np.frombuffer(n, np.int64)
+        totals[0] = n[:2]
+        totals[1 + part * width // WIDTH] += n[2:]
+    return model, totals
+
 
+def log_importance(model: np.ndarray, totals: np.ndarray, bucket: np.ndarray, times: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What each distinct gram of a text adds, `own`: the text belongs to the target, and its share isn't counted."""
+    seen_docs, raw_docs, seen, raw = model[:, bucket].astype(np.float64)
+    share_docs = totals[0, 0] / totals[0, 1]
+    seen_docs, due_docs = np.maximum(seen_docs - own, 0) + 1, np.maximum(raw_docs - 1, 0) * share_docs + 1
+    sure = SURE * np.sqrt(1 / seen_docs + 1 / due_docs)
 
-def log_ratios(target: np.ndarray, raw: np.ndarray, share: float) -> np.ndarray:
-    """Row 0: for texts outside the target, row 1: for the target's own, each without the text's own count."""
-    out = np.zeros((2, len(raw)), np.float32)
-    for own in (0, 1):
-        seen, due = np.maximum(target - own, 0) + 1, np.maximum(raw - 1, 0) * share + 1
-        ratio = np.log(seen / due)
-        out[own] = np.sign(ratio) * np.maximum(0, np.abs(ratio) - SURE * np.sqrt(1 / seen + 1 / due))
-    return out
+    def told(ratio: np.ndarray) -> np.ndarray:
+        return np.sign(ratio) * np.maximum(0, np.abs(ratio) - sure)
 
+    of_n = totals[1 + bucket // WIDTH]
+    share = of_n[:, 0] / np.maximum(of_n[:, 1], 1)
+    counted = times * told(np.log((np.maximum(seen - own * times, 0) + 1) / (np.maximum(raw - times, 0) * share + 1)))
+    return counted + np.where(bucket < WIDTH, told(np.log(seen_docs / due_docs)), 0)
 
-def scored(docs: DataFrame, ids: np.ndarray, scratch: str, seed: int = 0, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+
+def scored(docs: DataFrame, ids: np.ndarray, model: np.ndarray, totals: np.ndarray, seed: int = 0, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add log_weight (double) and key (log_weight with Gumbel noise) to each row; `keep`: the columns to hand on (None: all).
 
-    A text without features (null, empty), or whose features tell nothing, has log_weight 0. Repeated rows have equal keys. Columns named
-    log_weight or key are replaced.
+    A text without words (null, empty), or whose words tell nothing, has log_weight 0. Repeated rows have equal keys. Columns named
+    log_weight or key are replaced. Each row is worked on alone: no shuffle.
     """
-    target, raw, n_target, n = fitted(docs, ids, doc_id, text)
     spark = docs.sparkSession
-    weights = log_ratios(target, raw, n_target / n) if n_target else np.zeros((2, BUCKETS), np.float32)
-    shared, own = spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast(ids)
+    shared, own = spark.sparkContext.broadcast((model, totals)), spark.sparkContext.broadcast(ids)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("log_weight", "key")]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(doc_id).cast("long").alias("__q_id"), F.col(text).cast("string").alias("__q_text"))
-    orders = [f"__q_{n}" for n in ORDERS]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, totals = shared.value
         for batch in batches:
-            target, score = _among(own.value, batch.column(len(keep))).astype(np.int64), np.zeros((len(ORDERS), batch.num_rows))
+            target, score = _among(own.value, batch.column(len(keep))), np.zeros(batch.num_rows)
             for a, b, texts in _texts(batch.column(len(keep) + 1)):
-                for k, (bucket, of) in enumerate(_of_order(texts)):
-                    n = np.bincount(of, minlength=b - a)
-                    score[k, a:b] = np.bincount(of, weights=shared.value[target[a:b][of], bucket], minlength=b - a) / np.sqrt(np.maximum(n, 1))
+                bucket, of, times = grams(texts)
+                if totals[0, 0]:
+                    score[a:b] = np.bincount(of, weights=log_importance(model, totals, bucket, times, target[a:b][of]), minlength=b - a)
             id_hash = texthash._mix(np.array([0 if x is None else x for x in batch.column(len(keep)).to_pylist()], np.int64).astype(np.uint64) + np.uint64(seed) * np.uint64(2654435761) + np.uint64(1))
             u = ((id_hash >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, score), pa.array(-TEMPERATURE * np.log(-np.log(u))), pa.array(target > 0)], names=[*keep, *orders, "__q_noise", "__q_own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score), pa.array(score - np.log(-np.log(u)))], names=[*keep, "log_weight", "key"])
 
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} double" for c in orders), "__q_noise double", "__q_own boolean"])
-    parts = stored(rows.mapInArrow(work, schema), f"{scratch}/scored")
-    own_parts = parts.where("__q_own").agg(*(F.avg(c) for c in orders), *(F.stddev_pop(c) for c in orders)).first()
-    mean, spread = [x or 0.0 for x in own_parts[: len(orders)]], [max(x or 0.0, TEMPERATURE) for x in own_parts[len(orders) :]]  # smaller spreads drown in the noise
-    weight = F.least(*((F.col(c) - F.lit(m)) * F.lit(spread[0] / x) for c, m, x in zip(orders, mean, spread, strict=True)))
-    weight = F.when(F.greatest(*(F.abs(c) for c in orders)) > 0, weight).otherwise(F.lit(0.0))
-    return parts.select(*(F.col(f"`{c}`") for c in keep), weight.alias("log_weight"), (weight + F.col("__q_noise")).alias("key"))
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "log_weight double", "key double"])
+    return rows.mapInArrow(work, schema)
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
@@ -194,14 +192,24 @@ def resampled(docs: DataFrame, labels: DataFrame, wanted, scratch: str, seed: in
     """`docs` with log_weight, key and kept: whether the key is among the k largest (equal keys at the edge all count).
 
     `wanted` is a condition on `labels`, in SQL or as a column. Without `k`, the sample is as large as it takes to keep `KEEP` of the labelled
-    wanted documents; where none is labelled, all documents are kept.
+    wanted documents; where none is labelled, all documents are kept. `keep`: the columns to hand on (None: all). Columns named log_weight,
+    key or kept are replaced. Repeated rows are kept or dropped together; an empty table gives no rows.
+
+    Only ids and keys are stored; where more columns are asked for, the weights are worked out once more beside the texts,
+    which costs less than to write and read all texts.
     """
+    spark = docs.sparkSession
     ids = wanted_ids(labels, wanted, doc_id)
-    rows = scored(docs, ids, scratch, seed, doc_id, text, keep if keep is None or doc_id in keep else [doc_id, *keep])
+    model, totals = fitted(docs, ids, doc_id, text)
+    keep = [c for c in (docs.columns if keep is None else keep if doc_id in keep else [doc_id, *keep]) if c != "kept"]
+    rows = stored(scored(docs, ids, model, totals, seed, doc_id, text, [doc_id]), f"{scratch}/scored")
     if k is None:
-        known = docs.sparkSession.createDataFrame(pa.table({"__known": ids}))
+        known = spark.createDataFrame(pa.table({"__known": ids}))
         own = rows.join(known, F.col(doc_id) == F.col("__known"), "left_semi")
         edge = kth_largest(own, "key", math.ceil(KEEP * own.count()))
     else:
         edge = kth_largest(rows, "key", k) if k > 0 else math.inf
+    if keep != [doc_id]:
+        freed(spark, f"{scratch}/scored")
+        rows = scored(docs, ids, model, totals, seed, doc_id, text, keep)
     return rows.withColumn("kept", F.col("key") >= F.lit(edge) if edge is not None else F.lit(True))

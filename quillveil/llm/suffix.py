@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import texthash
-from .common import stored
+from .common import freed, parts_for, stored
 from .jaccard import _by_part, _parted
 
 LENGTH, GRAM = 200, 72
@@ -34,7 +34,8 @@ HALF = REST // 2
 #: Width of the strings of step 3: the gram, half of the rest on one side and all of it on the other.
 WIDTH = GRAM + HALF + REST
 PAD = 256
-PARTS = 1024
+#: Anchors in one part of a shuffle, about: parts grow in number with the input, not in size.
+EACH = 250_000
 CHUNK = 500_000
 #: Strings of one shard, and strings merged in one go (whole groups).
 SHARD, MERGED = 4096, 16384
@@ -86,7 +87,7 @@ def _chunked(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byt
         yield a, got[a:b]
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, parts: int) -> DataFrame:
     """(key, at, gram, kind): each anchor whose gram occurs again. kind 0: so do its whole surroundings; 1: they occur
     once; 2: one of several equal surroundings, beside others (a partner for those that occur once)."""
 
@@ -99,7 +100,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 if len(p):
                     a, b = np.maximum(p - REST, j.starts[text]), np.minimum(p + GRAM + REST, j.ends[text])
                     around = texthash._mix(j.hash(a, b) + (p - a).astype(np.uint64))
-                    yield _parted((h >> np.uint64(20)) % np.uint64(PARTS), h, around, keys[first + text], (p - j.starts[text]).astype(np.uint32))
+                    yield _parted((h >> np.uint64(20)) % np.uint64(parts), h, around, keys[first + text], (p - j.starts[text]).astype(np.uint32))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, around, key, at in _by_part(batches, ["<u8", "<u8", "<i8", "<u4"]):
@@ -273,7 +274,8 @@ def deduplicated(docs: DataFrame, scratch: str, doc_id: str = "doc_id", text: st
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     long = rows.where(F.octet_length("text") >= LENGTH).select("key", "text")
-    found = stored(occurrences(long), f"{scratch}/occurrences")
+    n_bytes = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = stored(occurrences(long, parts_for(n_bytes // 65, EACH)), f"{scratch}/occurrences")
     spans = stored(partial_spans(long, found.where("kind > 0")), f"{scratch}/partial")
     whole = found.where("kind = 0").select("key", F.col("at").alias("start"), F.lit(-1).alias("end"))
     spans = whole.unionByName(spans).groupBy(F.col("key").alias("k")).agg(F.collect_list("start").alias("a"), F.collect_list("end").alias("b"))

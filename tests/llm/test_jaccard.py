@@ -46,7 +46,7 @@ def test_components_are_exact(spark, scratch, monkeypatch):
     want = brute(rows)
     assert run(df, scratch + "1") == want
     monkeypatch.setattr(J, "REGION", 7)
-    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(J, "RARE", 3)
     assert run(df, scratch + "2") == want
     assert run(df.limit(0), scratch + "3") == []
 
@@ -54,3 +54,14 @@ def test_components_are_exact(spark, scratch, monkeypatch):
 def test_rows_without_an_id_link_with_nothing(spark, scratch):
     df = spark.createDataFrame([(None, "a b c"), (2, "a b c"), (2, "a b c")], "doc_id long, text string")
     assert {tuple(r) for r in J.joined(df, scratch).collect()} == {(None, 1, None), (2, 1, 2)}
+
+
+def test_one_row_of_each_component_stays(spark, scratch):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base), (2, base + " x"), (2, base + " x"), (3, "other words that stand alone here"), (3, base), (4, None), (4, None), (5, "six words of a repeated row"), (5, "six words of a repeated row"), (None, "six words of a repeated row"), (None, "words without any id at all"), (None, "words without any id at all"), (6, "")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, sig int")
+    out = J.one_of_each(df, scratch)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, base), (3, "other words that stand alone here"), (4, None), (4, None), (5, "six words of a repeated row"), (None, "words without any id at all"), (6, "")], key=str)
+    assert J.one_of_each(df.limit(0), scratch + "2").count() == 0

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -16,13 +19,56 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df.limit(0), "v", 3) is None
 
 
-def test_model_counts_all_documents(spark):
-    rows = [(i, f"word{i % 3} other") for i in range(30)]
-    ids = np.arange(0, 30, 2)
-    target, raw, n_target, n = quality.fitted(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), ids)
-    bucket, of = quality.features([t.encode() for _, t in rows])
-    assert (n_target, n) == (15, 30) and (raw == np.bincount(bucket, minlength=quality.BUCKETS)).all()
-    assert (target == np.bincount(bucket[np.isin(of, ids)], minlength=quality.BUCKETS)).all()
+def brute(rows, target, seed=0):
+    """log_weight of each row by plain dictionaries: no hashing, no arrays."""
+    bags = []
+    for _, text in rows:
+        words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+|[!-/:-@\[-`{-~]+", (text or "").lower())
+        bags.append([Counter(words), Counter(zip(words, words[1:], strict=False))])
+    own = [i in target for i, _ in rows]
+    docs, seen, total = Counter(), Counter(), Counter()
+    for bag, mine in zip(bags, own, strict=True):
+        for n, counts in enumerate(bag):
+            for gram, times in counts.items():
+                for side in ("raw", "target") if mine else ("raw",):
+                    docs[side, gram] += 1
+                    seen[side, gram] += times
+                    total[side, n] += times
+    out = []
+    for bag, mine in zip(bags, own, strict=True):
+        weight = 0.0
+        for n, counts in enumerate(bag):
+            for gram, times in counts.items():
+                a, b = max(docs["target", gram] - mine, 0) + 1, (docs["raw", gram] - 1) * sum(own) / len(rows) + 1
+                sure = quality.SURE * math.sqrt(1 / a + 1 / b)
+                c = max(seen["target", gram] - mine * times, 0) + 1
+                d = (seen["raw", gram] - times) * total["target", n] / total["raw", n] + 1
+                for ratio, of in ((math.log(a / b), n == 0), (math.log(c / d), times)):
+                    weight += of * math.copysign(max(0, abs(ratio) - sure), ratio)
+        out.append(weight)
+    return out
+
+
+def test_weights_and_sample_are_those_of_brute_force(spark, scratch):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(30)] + ["|", "##", "\u00e9t\u00e9"]
+    rows = [(i, " ".join(rnd.choice(words[: 10 + i % 24]) for _ in range(rnd.randint(1, 80)))) for i in range(120)] + [(200, None), (201, ""), (202, "w1 w1 " * 20_000), (202, "w1 w1 " * 20_000)]
+    target = {i for i in range(0, 120, 3)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i in target), 0) for i in range(0, 120, 2)] + [(i, 1, 0) for i in target], "doc_id long, quality int, toxic int")
+    target = {i for i in target if i % 2 or i in target}
+    want = dict(zip(rows, brute(rows, target), strict=True))
+    samples = []
+    for seed in (0, 1):
+        out = quality.resampled(docs, labels, WANTED, f"{scratch}{seed}", seed, k=60).collect()
+        assert len(out) == len(rows) and all(abs(r.log_weight - want[r.doc_id, r.text]) < 1e-6 * max(1, abs(r.log_weight)) for r in out)
+        noise = np.array([r.key - r.log_weight for r in out])
+        assert 0.2 < noise.mean() < 1.0 and 0.9 < noise.std() < 1.7  # Gumbel: 0.58 and 1.28
+        samples.append({r.doc_id for r in sorted(out, key=lambda r: -r.key)[:60]})
+        assert samples[-1] == {r.doc_id for r in out if r.kept}
+    none = labels.limit(0)  # all weights are 0: noise alone decides
+    samples = [{r.doc_id for r in quality.resampled(docs, none, WANTED, f"{scratch}-{seed}", seed, k=20).where("kept").collect()} for seed in (0, 1)]
+    assert samples[0] != samples[1] and all(20 <= len(s) <= 21 for s in samples)
 
 
 def test_unwanted_documents_go(spark, scratch):
