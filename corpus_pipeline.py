@@ -6,39 +6,36 @@ the next one's docs. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quillveil.llm import bpe, decontaminate, jaccard, pii, quality
-from quillveil.llm.common import shared_dir, stored, table
+from quillveil.llm.common import shared_dir, table, tidy
 from quillveil.llm.queries import RANKS, WANTED
 
 
 def wanted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the importance sample; the others (low quality, toxic) go."""
+    """Documents in the importance sample; the others (low quality, toxic) go, repeated rows together. Null and empty texts weigh nothing for or against."""
     sample = quality.resampled(docs, table(spark, sf_dir, "labels"), WANTED, shared_dir(spark))
     return sample.where("kept").select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id; rows without an id stay."""
-    scratch = shared_dir(spark)
-    found = jaccard.joined(docs, scratch)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), f"{scratch}/gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One document of each component of near-duplicates, see `jaccard.one_of_each`; documents without words all stay."""
+    return jaccard.one_of_each(docs, shared_dir(spark))
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with a benchmark item."""
+    """Documents that share no window of words with a benchmark item; null and empty texts stay, as do repeated rows."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), shared_dir(spark))
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and the terms that would reveal it masked."""
+    """All documents, repeated rows too, with personal data and the terms that would reveal it masked; null texts stay null."""
     return pii.sanitised(docs, shared_dir(spark), n_chars="n_chars")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, token_ids (unsigned 32-bit little-endian) and n_tokens of each document."""
+    """doc_id, lang, source, token_ids (unsigned 32-bit little-endian) and n_tokens of each row; null and empty texts have no tokens."""
     import public_tokenizers as P
 
     rows = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), P.path(RANKS), P.PATTERN)
@@ -58,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`STAGES` applied to `documents` in turn. An empty table gives no rows."""
     docs, scratch = table(spark, sf_dir, "documents"), shared_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
         out = f"{scratch}/stage-{k}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        kept = stage(spark, docs, sf_dir)
+        with tidy(spark):
+            kept.write.parquet(out)
         docs = spark.read.parquet(out)
     return docs
