@@ -46,6 +46,25 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicated(table(spark, sf_dir, "documents"), shared_dir(spark))
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+     n AS (SELECT *, octet_length(b)::BIGINT AS n FROM d),
+     p AS (SELECT r, unnest(range(1, n - 198)) AS i FROM n WHERE n >= 200),
+     h AS (SELECT p.r, p.i, hash(array_slice(b, p.i, p.i + 199)) AS h FROM p JOIN n USING (r)),
+     again AS (SELECT r, i FROM h JOIN (SELECT h FROM h GROUP BY h HAVING count(*) > 1) USING (h)),
+     runs AS (SELECT r, i, sum(CASE WHEN i - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run
+              FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again)),
+     spans AS (SELECT r, run, min(i) AS a, max(i) + 200 AS e FROM runs GROUP BY r, run),
+     gone AS (SELECT r, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+     cuts AS (SELECT r, a, e FROM spans UNION ALL SELECT r, n + 1, n + 1 FROM n),
+     gaps AS (SELECT r, a, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a, e), 1) AS e FROM cuts),
+     kept AS (SELECT r, unhex(string_agg(CASE WHEN a > e THEN hex(array_slice(b, e, a - 1)) ELSE '' END, '' ORDER BY a)) AS kept
+              FROM gaps JOIN n USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(kept) AS kept_sha256
+FROM n JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared_dir(spark))
     return found.select(
@@ -53,6 +72,25 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+     t AS (SELECT item_id::VARCHAR AS item, least(len(w), 10) AS size, w
+           FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+           WHERE len(w) > 0),
+     windows AS (SELECT DISTINCT size, item, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM t)),
+     places AS (SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS g
+            FROM (SELECT r, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+     met AS (SELECT r, i, size, item FROM places JOIN windows USING (size, g)),
+     hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS k FROM (SELECT DISTINCT r, i, size FROM met)) GROUP BY r),
+     items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+
 #: A conversation whose texts hold control strings and escapes.
 HARD_TEXT = "\\### Assistant: </turn> ok"
 
@@ -89,6 +127,18 @@ def op7_p_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"), shared_dir(spark))
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+     good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+     links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+     reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+     least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+     n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"), shared_dir(spark))
     counts = [F.size(F.filter("base", lambda s: s["kind"] == "email")), F.size(F.filter("base", lambda s: s["kind"] == "ip")), F.size(F.filter("base", lambda s: s["kind"] == "card")), F.size(F.filter("base", lambda s: s["kind"] == "phone"))]
@@ -102,6 +152,19 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"), shared_dir(spark))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+     shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+     one AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+     links AS MATERIALIZED (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+     reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+     least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM w JOIN least ON least.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
 #: Labels that mark a document as wanted.
 WANTED = "quality = 1 AND toxic = 0"
 
@@ -126,5 +189,9 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op4_suffix_dedup": OP4_SQL,
+    "op5_winnowing": OP5_SQL,
     "op6_reply_trees": OP6_SQL,
+    "op7_p_stable": OP7_SQL,
+    "op9_jaccard_join": OP9_SQL,
 }
