@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .layout import iou, same_box
 
 #: Boxes that overlap by more, or lie within this many units of each other, are the same place.
 OVERLAP, TOLERANCE = 0.8, 5.0
@@ -39,53 +40,57 @@ def by_span(entities: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
     return joined.where(F.array_contains("kept", F.col("__span"))).select(entities.columns).dropDuplicates([*keys, "text_index", "pattern_ordinal"])
 
 
-def iou(a: dict, b: dict) -> float:
-    """Overlap of two boxes (x, y, width, height) over their union; 0 where there is none."""
-    w = min(a["x"] + a["width"], b["x"] + b["width"]) - max(a["x"], b["x"])
-    h = min(a["y"] + a["height"], b["y"] + b["height"]) - max(a["y"], b["y"])
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / (a["width"] * a["height"] + b["width"] * b["height"] - w * h)
+def apart(spans: Column) -> Column:
+    """Of an array of spans (rank, size, ordinal, start, end, label) those that `by_span` keeps, within the row: islands first, then each island's best."""
+    kind = "struct<start:int,end:int,rank:double,size:int,ordinal:int,label:string>"
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(*(s[k].alias(k) for k in ("start", "end", "rank", "size", "ordinal", "label")))))
+
+    def island(acc: Column, s: Column) -> Column:
+        last = F.get(acc["done"], F.size(acc["done"]) - 1)
+        longer = F.concat(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.array(F.concat(last, F.array(s))))
+        done = F.when(s["start"] < acc["end"], longer).otherwise(F.concat(acc["done"], F.array(F.array(s))))
+        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), done.alias("done"))
+
+    def best(group: Column) -> Column:
+        ranked = F.array_sort(F.transform(group, lambda s: F.struct(*(s[k].alias(k) for k in ("rank", "size", "ordinal", "start", "end", "label")))))
+        none = F.array().cast("array<struct<rank:double,size:int,ordinal:int,start:int,end:int,label:string>>")
+        return F.aggregate(ranked, none, lambda kept, s: F.when(F.exists(kept, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])), kept).otherwise(F.concat(kept, F.array(s))))
+
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+    return F.flatten(F.transform(F.aggregate(by_start, start, island, lambda acc: acc["done"]), best))
 
 
 def by_place(entities: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
-    """Greedy: of entities on a page, each not yet absorbed takes in later ones that overlap it by more than `OVERLAP`
-    (the more confident stays) or have its text at its place (found by different methods: the first stays, with the mean
-    confidence, as ml_ner; by the same: the more confident stays).
+    """One entity a place of a page. Boxes that overlap by more than `OVERLAP` are one place (the most confident entity stays), and so are
+    equal texts (in any case) whose boxes nearly coincide: found by one method the most confident stays, by two the place's first,
+    as ml_ner with the mean confidence.
 
-    Entities are taken by y, x, pattern and place in the text. A page's entities are few and meet in one pandas frame;
-    columns bbox (struct) x, y, width, height are read.
+    Entities come by rows of `TOLERANCE` units, x, pattern and place in the text; each joins the first place that takes it, or begins
+    its own. A page's entities are folded within one row; column bbox (struct) has x, y, width, height.
     """
-
-    def close(a: dict, b: dict) -> bool:
-        return all(abs(a[k] - b[k]) < TOLERANCE for k in ("x", "y", "width", "height"))
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.to_dict("records")
-        rows.sort(key=lambda r: (r["bbox"]["y"], r["bbox"]["x"], r["pattern_ordinal"], r["text_index"]))
-        used, out = set(), []
-        for i, first in enumerate(rows):
-            if i in used:
-                continue
-            best = dict(first)
-            for j in range(i + 1, len(rows)):
-                other = rows[j]
-                if j in used:
-                    continue
-                if iou(first["bbox"], other["bbox"]) > OVERLAP:
-                    used.add(j)
-                    if other["confidence"] > best["confidence"]:
-                        best = dict(other)
-                elif first["text"].lower() == other["text"].lower() and close(first["bbox"], other["bbox"]):
-                    used.add(j)
-                    if first["detection_method"] != other["detection_method"]:
-                        best = first | {"confidence": (first["confidence"] + other["confidence"]) / 2, "detection_method": "ml_ner"}
-                    elif other["confidence"] > best["confidence"]:
-                        best = dict(other)
-            out.append(best)
-        return pd.DataFrame(out, columns=page.columns)
-
-    return entities.groupBy(*keys).applyInPandas(fold, entities.schema)
+    own = F.struct(*entities.columns)
+    rank = F.struct(F.floor(F.col("bbox.y") / TOLERANCE).alias("row"), F.col("bbox.x").alias("x"), F.col("pattern_ordinal").alias("o"), F.col("text_index").alias("t"), own.alias("e"))
+    pages = entities.groupBy(*keys).agg(F.array_sort(F.collect_list(rank)).alias("__sorted"))
+    kind = entities.select(F.array(F.struct(own.alias("first"), own.alias("best")))).schema[0].dataType
+
+    def takes(place: Column, e: Column) -> Column:
+        first = place["first"]
+        equal = (F.lower(first["text"]) == F.lower(e["text"])) & same_box(first["bbox"], e["bbox"], TOLERANCE)
+        return (iou(first["bbox"], e["bbox"]) > OVERLAP) | equal
+
+    def merged(place: Column, e: Column) -> Column:
+        first, best = place["first"], place["best"]
+        mean = first.withField("confidence", (first["confidence"] + e["confidence"]) / 2).withField("detection_method", F.lit("ml_ner"))
+        two_methods = (iou(first["bbox"], e["bbox"]) <= OVERLAP) & (first["detection_method"] != e["detection_method"])
+        return F.struct(first.alias("first"), F.when(two_methods, mean).when(e["confidence"] > best["confidence"], e).otherwise(best).alias("best"))
+
+    def step(places: Column, x: Column) -> Column:
+        e = x["e"]
+        at = F.array_position(F.transform(places, lambda p: takes(p, e)), F.lit(True))
+        return F.when(at == 0, F.concat(places, F.array(F.struct(e.alias("first"), e.alias("best"))))).otherwise(F.transform(places, lambda p, i: F.when(i == at - 1, merged(p, e)).otherwise(p)))
+
+    places = F.aggregate("__sorted", F.array().cast(kind), step, lambda done: F.transform(done, lambda p: p["best"]))
+    return pages.select(F.inline(places)).select(entities.columns)
 
 
 def spatial_anti_join(found: DataFrame, taken: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_number"), tolerance: float = 2.0) -> DataFrame:

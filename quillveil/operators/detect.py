@@ -55,6 +55,27 @@ def _by_ordinal(ordinal: Column, chosen: Sequence[tuple[int, Pattern]], get, non
     return F.get(F.array(*(F.lit(get(p)) for _, p in chosen)), ordinal - (chosen[0][0] if chosen else 0))
 
 
+def confidence_of(text: Column, ordinal: Column, start: Column, end: Column, listed: Sequence[tuple[int, Pattern]]) -> Column:
+    """A match's confidence, raised where a keyword of its pattern is near."""
+    keywords = F.get(F.array(*(F.array(*map(F.lit, p.keywords)).cast("array<string>") for _, p in listed)), ordinal)
+    boosted = X.has_keyword(X.near(text, start, end, _by_ordinal(ordinal, listed, lambda p: p.window)), keywords)
+    base = _by_ordinal(ordinal, listed, lambda p: float(p.confidence))
+    return F.least(F.lit(1.0), base * F.when(boosted, _by_ordinal(ordinal, listed, lambda p: float(p.boost))).otherwise(1.0))
+
+
+def entities_of(text: Column, scripts: Column, config: DetectionConfig, words: Sequence[Word] = ()) -> Column:
+    """(rank, size, ordinal, start, end, label) of a text's matches that the configuration lets through, within the row."""
+    listed = catalogue(config, words)
+    if not listed:
+        return F.array().cast("array<struct<rank:double,size:int,ordinal:int,start:int,end:int,label:string>>")
+
+    def scored(m: Column) -> Column:
+        sure = confidence_of(text, m["ordinal"], m["start"], m["end"], listed)
+        return F.struct(F.negative(sure).alias("rank"), (m["start"] - m["end"]).alias("size"), m["ordinal"].alias("ordinal"), m["start"].alias("start"), m["end"].alias("end"), _by_ordinal(m["ordinal"], listed, lambda p: p.type).alias("label"))
+
+    return F.filter(F.transform(matches(text, scripts, listed), scored), lambda s: s["label"].isin(*config.types) & (s["rank"] <= -config.threshold))
+
+
 def detect(df: DataFrame, text: str = "text", config: DetectionConfig | None = None, words: Sequence[Word] = (), patterns: Sequence[Pattern] = CATALOGUE, use_scripts: bool = True) -> DataFrame:
     """One row for each match, with the columns of `df` but the text.
 
@@ -77,10 +98,7 @@ def detect(df: DataFrame, text: str = "text", config: DetectionConfig | None = N
         listed = [(0, CATALOGUE[0])]
     o = F.col("m.ordinal")
     start, end = F.col("m.start"), F.col("m.end")
-    keywords = F.get(F.array(*(F.array(*map(F.lit, p.keywords)).cast("array<string>") for _, p in listed)), o)
-    window = _by_ordinal(o, listed, lambda p: p.window)
-    boosted = X.has_keyword(X.near(F.col("__text"), start, end, window), keywords)
-    confidence = F.least(F.lit(1.0), _by_ordinal(o, listed, lambda p: float(p.confidence)) * F.when(boosted, _by_ordinal(o, listed, lambda p: float(p.boost))).otherwise(1.0))
+    confidence = confidence_of(F.col("__text"), o, start, end, listed)
     return rows.select(
         *keep, o.alias("pattern_ordinal"), _by_ordinal(o, listed, lambda p: p.name).alias("pattern_name"), _by_ordinal(o, listed, lambda p: p.type).alias("entity_type"),
         F.col("m.value").alias("text"), start.alias("text_index"), X.utf16_index(F.col("__text"), start).alias("utf16_index"), confidence.alias("confidence"),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import DetectionConfig
+from ..functions.scripts import with_scripts
 from ..functions.words import Word
-from ..operators import dedupe, review
-from ..operators.detect import detect
-from ..operators.redact import redact
+from ..operators import dedupe, redact, review
+from ..operators.detect import detect, entities_of, find_occurrences
 
 
 def analysed(docs: DataFrame, config: DetectionConfig | None = None, words: Sequence[Word] = (), mode: str = "span", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,6 +27,29 @@ def analysed(docs: DataFrame, config: DetectionConfig | None = None, words: Sequ
 
 
 def redacted(docs: DataFrame, config: DetectionConfig | None = None, words: Sequence[Word] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents with all that analysis finds, taken as confirmed, replaced by labels."""
-    found = review.confirm_confident(analysed(docs, config, words, "span", key, text), 0.0)
-    return redact(docs, review.with_status(found, "confirmed"), key, text)
+    """Documents with all that analysis finds, taken as confirmed, replaced by labels: redacted_text and redacted_count.
+
+    All is found, chosen and replaced within the row: no shuffle, one scan, and the same on streams. `key` isn't needed; rows with
+    equal or null keys are rows of their own.
+    """
+    config = config or DetectionConfig()
+    rows = docs.withColumn("__scripts", F.array(*map(F.lit, config.force_scripts))) if config.force_scripts else with_scripts(docs, text, "__scripts")
+    rows = rows.withColumn("__spans", dedupe.apart(entities_of(F.col(text), F.col("__scripts"), config, words)))
+    return rows.withColumn("redacted_text", redact.redacted(F.col(text), F.col("__spans"))).withColumn("redacted_count", F.coalesce(F.size("__spans"), F.lit(0))).drop("__scripts", "__spans")
+
+
+def all_sources(docs: DataFrame, model_entities: DataFrame | None = None, config: DetectionConfig | None = None, words: Sequence[Word] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What patterns and a model find, as the configuration asks for (`use_regex`, `use_ml`), filtered by type and confidence."""
+    config = config or DetectionConfig()
+    found = detect(docs.select(key, text), text, config, words)
+    if config.use_ml and model_entities is not None:
+        found = found.unionByName(model_entities, allowMissingColumns=True)
+    return review.config_filter(found, config)
+
+
+def with_selection(docs: DataFrame, entities: DataFrame, needle: str, kind: str = "CUSTOM", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Entities and all places of a text selected by hand that aren't among them yet."""
+    own = find_occurrences(docs.select(key, text), needle, kind, text)
+    known = entities.select(F.col(key).alias("__k"), F.col("text_index").alias("__i"), F.lower("text").alias("__t"))
+    fresh = own.join(known, F.col(key).eqNullSafe(F.col("__k")) & (F.col("text_index") == F.col("__i")) & (F.lower("text") == F.col("__t")), "left_anti")
+    return entities.unionByName(fresh, allowMissingColumns=True)

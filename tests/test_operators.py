@@ -33,7 +33,8 @@ def test_places(spark):
     assert got == {("B", 0.9, "regex"), ("C", 0.8, "ml_ner")}
     a, b = spark.createDataFrame(rows[:2], E), spark.createDataFrame([entity(box=box)], E)
     assert dedupe.spatial_anti_join(a, b).count() == 0
-    assert abs(dedupe.iou(dict(x=0, y=0, width=2, height=2), dict(x=1, y=0, width=2, height=2)) - 1 / 3) < 1e-12
+    boxes = spark.createDataFrame([((0.0, 0.0, 2.0, 2.0), (1.0, 0.0, 2.0, 2.0))], f"a {layout.BBOX}, b {layout.BBOX}")
+    assert abs(boxes.select(layout.iou(F.col("a"), F.col("b"))).first()[0] - 1 / 3) < 1e-12
 
 
 def test_review(spark):
