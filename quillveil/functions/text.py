@@ -48,6 +48,24 @@ def located(text: Column, pattern: str) -> Column:
     return F.coalesce(F.flatten(F.transform(blocks, placed)), F.array().cast(MATCH))
 
 
+def starts(sizes: Column) -> Column:
+    """Running sums of an array of sizes, each without its own: over blocks first, then within each, so that the cost stays in proportion."""
+
+    def fold(at: Column, own: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast("array<int>").alias("done"))
+        return F.aggregate(own, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["done"], F.array(acc["at"])).alias("done")), lambda acc: acc["done"])
+
+    def cut(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(own) - 1, F.lit(BLOCK)), lambda i: F.slice(own, i + 1, F.lit(BLOCK)))
+
+    def placed(blocks: Column) -> Column:
+        first = fold(F.lit(0), F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n)))
+        return F.flatten(F.zip_with(blocks, first, lambda b, at: fold(at, b)))
+
+    bound = F.transform(F.transform(F.array(sizes), cut), placed)
+    return F.when(F.size(sizes) > 0, F.get(bound, F.lit(0))).otherwise(F.array().cast("array<int>"))
+
+
 def find_all(text: Column, needle: str) -> Column:
     """Places of a literal, whatever its case."""
     quoted = "\\E\\\\E\\Q".join(needle.split("\\E"))

@@ -24,6 +24,16 @@ def review_filter(entities: DataFrame, types: Sequence[str] = TYPES, hidden_band
     return entities.where(shown & ~F.coalesce(band(F.col("confidence")).isin(*hidden_bands), F.lit(False)) if hidden_bands else shown)
 
 
+def clamped(confidence: Column) -> Column:
+    """Into [0, 1]; null stays null."""
+    return F.when(confidence.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)))
+
+
+def viewer_filter(entities: DataFrame) -> DataFrame:
+    """What a viewer shows: all that isn't rejected."""
+    return entities.where(F.col("status") != "rejected")
+
+
 def with_status(entities: DataFrame, status: str) -> DataFrame:
     return entities.where(F.col("status") == status)
 
@@ -34,6 +44,11 @@ def counts_by_type(entities: DataFrame) -> DataFrame:
     return dim.join(entities.groupBy("entity_type").agg(F.count("*").alias("n")), "entity_type", "left").select("entity_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def shown_counts(entities: DataFrame) -> DataFrame:
+    """Counts by type without the types that have none."""
+    return counts_by_type(entities).where("n > 0")
+
+
 def counts_by_band(entities: DataFrame) -> DataFrame:
     b = band(F.col("confidence"))
     return entities.agg(*(F.count_if(b == k).alias(k) for k in ("high", "medium", "low")), F.count_if(F.col("status") == "confirmed").alias("confirmed"), F.coalesce(F.every(F.col("status") == "confirmed"), F.lit(True)).alias("all_confirmed"))
