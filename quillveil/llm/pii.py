@@ -152,7 +152,7 @@ def _found(docs: DataFrame, scratch: str, doc_id: str, text: str) -> tuple[DataF
     return base, stored(_added(base.where(F.size("spans") > 0), shown), f"{scratch}/added")
 
 
-def listed(spans: Column) -> Column:
+def listed(spans: Column | str) -> Column:
     """kind:start:end of each span, comma-joined, in the order given."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
