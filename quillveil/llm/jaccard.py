@@ -261,7 +261,8 @@ def links(docs: DataFrame, reps: DataFrame, scratch: str, n_shingles: int) -> Da
     own = own.select("doc_id", "sig", "pivot", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     own = own.groupBy(F.col("doc_id").alias("d"), F.col("sig").alias("s")).agg(F.collect_set(F.struct("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))).alias("regions"))
     own = stored(own, f"{scratch}/members")
-    shipped = docs.join(own, F.col("doc_id") == F.col("d")).select("doc_id", "s", "text", F.explode("regions").alias("r")).select("r.pivot", "r.x", "r.y", "doc_id", "s", "text")
+    # Both sides are shuffled at any size: what a small table would broadcast grows with the input.
+    shipped = docs.join(own.hint("merge"), F.col("doc_id") == F.col("d")).select("doc_id", "s", "text", F.explode("regions").alias("r")).select("r.pivot", "r.x", "r.y", "doc_id", "s", "text")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
@@ -338,6 +339,6 @@ def one_of_each(docs: DataFrame, scratch: str, doc_id: str = "doc_id", text: str
     marks = stored(marks.where("NOT __j_first OR n > 1").drop("n"), f"{scratch}/marks")
     freed(docs.sparkSession, *(f"{scratch}/{name}" for name in ("sets", "known", "keys")))
     same = docs[doc_id].cast("long").eqNullSafe(marks["__j_id"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == marks["__j_hash"])
-    others = docs.join(marks, same, "left_anti")
-    again = docs.join(marks.where("__j_first"), same).withColumn("__j_key", F.struct("__j_id", "__j_hash"))
+    others = docs.join(marks.hint("merge"), same, "left_anti")
+    again = docs.join(marks.where("__j_first").hint("merge"), same).withColumn("__j_key", F.struct("__j_id", "__j_hash"))
     return others.union(again.dropDuplicates(["__j_key"]).select(docs.columns))
