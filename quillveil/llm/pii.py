@@ -116,12 +116,14 @@ def _added(held: DataFrame, shown: DataFrame) -> DataFrame:
     A row a word, joined with the document's terms; base spans come along, and running ends tell what they cover, so that no
     word is compared with all spans or terms.
     """
+    keys = shown.select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash")).distinct()
+    # Only texts that have such terms go on, dealt by document: those of one file of few bytes are many words.
+    held = held.join(keys, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")), "left_semi").repartition("doc_id", "text_hash")
     words = held.select("doc_id", "text_hash", F.explode(located(F.col("text"), r"\p{L}++")).alias("s"))
     same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")) & (F.lower("s.value") == F.col("term"))
     words = words.join(shown.select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), "term", "action"), same)
     words = words.select("doc_id", "text_hash", F.col("action").alias("kind"), "s.start", "s.end", "s.value", F.lit(False).alias("is_base"))
-    base = held.join(shown.select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash")).distinct(), F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")), "left_semi")
-    base = base.select("doc_id", "text_hash", F.explode("spans").alias("s")).select("doc_id", "text_hash", "s.kind", "s.start", "s.end", "s.value", F.lit(True).alias("is_base"))
+    base = held.select("doc_id", "text_hash", F.explode("spans").alias("s")).select("doc_id", "text_hash", "s.kind", "s.start", "s.end", "s.value", F.lit(True).alias("is_base"))
     order = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("is_base"))
     before = F.max(F.when(F.col("is_base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     back = Window.partitionBy("doc_id", "text_hash").orderBy(F.desc("start"), "is_base")
