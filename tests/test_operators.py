@@ -138,3 +138,34 @@ def test_stream(spark, tmp_path):
     source = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     detection.started(detection.entities(source), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a@b.com"]
+
+
+def test_word_xml_with_empty_nodes_and_references(spark):
+    xml = '<w:p><w:r><w:t xml:space="preserve"/></w:r><w:r><w:t>a &amp;#39; &#39;&#x41;</w:t></w:r><w:r><w:t xml:space="preserve">john@x</w:t></w:r><w:r><w:t></w:t><w:t>.com &lt; b</w:t></w:r></w:p>'
+    text = docx.full_text(F.col("xml"))
+    rows = spark.createDataFrame([(xml,)], "xml string").withColumn("text", text).withColumn("at", F.instr("text", "john") - 1)
+    spans = F.array(F.struct(F.col("at").alias("start"), (F.col("at") + 11).alias("end"), F.lit("EMAIL").alias("label")))
+    r = rows.withColumn("cut", docx.with_spans_cut(F.col("xml"), spans)).first()
+    assert r.text == "a &#39; 'A john@x .com < b"
+    assert r.cut == xml.replace(">john@x<", ">[EMAIL]<").replace(">.com &lt; b<", "> &lt; b<")
+
+
+def test_nested_changes_go_whole(spark):
+    xml = '<w:del w:id="1">a<w:del w:id="2">b<w:del w:id="3">c</w:del>d</w:del>e</w:del>f<w:delText>g</w:delText><w:del w:id="4"/>h<w:ins w:id="5">i</w:ins>'
+    df = spark.createDataFrame([(xml,)], "x string")
+    assert df.select(sanitize.accepted_changes(F.col("x"))).first()[0] == "f<w:delText>g</w:delText>hi"
+
+
+def test_redaction_within_the_row_is_that_of_the_joins(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com, ssn 123-45-6789, card 4111 1111 1111 1111 or 2024-01-15"), (2, None), (3, ""), (None, "call (212) 456-7890 now")], "doc_id long, text string")
+    by_rows = {(r.doc_id, r.redacted_text, r.redacted_count) for r in analysis.redacted(docs).collect()}
+    found = review.confirm_confident(analysis.analysed(docs), 0.0)
+    assert by_rows == {(r.doc_id, r.redacted_text, r.redacted_count) for r in redact.redact(docs, found).collect()} and sum(n for _, _, n in by_rows) >= 4
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    from quillveil.functions import text as X
+
+    df = spark.createDataFrame([("word " * 30_000,)], "t string")
+    r = df.select(X.located(F.col("t"), "w[a-z]+").alias("m"), X.starts(F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda i: i.cast("int"))).alias("s")).first()
+    assert len(r.m) == 30_000 and r.m[-1].start == 5 * 29_999 and r.s[:4] == [0, 1, 3, 6] and len(r.s) == 5000
