@@ -29,8 +29,10 @@ def script_counts(text: Column) -> Column:
     sample = F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE)
     named = "".join(RANGES.values())
     # Ranges of scripts hold a few marks of punctuation: those count for their script, so only what is in neither is other.
-    counts = {k: F.regexp_count(sample, F.lit(f"[{r}]")) for k, r in RANGES.items()}
-    counts["other"] = F.regexp_count(sample, F.lit(f"[^{named}{IGNORED}]"))
+    # Latin letters go run by run, and the other scripts are looked for in what is left, which is little in most texts.
+    bare = F.regexp_replace(sample, f"[{RANGES['latin']}]+", "")
+    counts = {k: F.length(sample) - F.length(bare) if k == "latin" else F.regexp_count(bare, F.lit(f"[{r}]")) for k, r in RANGES.items()}
+    counts["other"] = F.regexp_count(bare, F.lit(f"[^{named}{IGNORED}]"))
     return F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))
 
 
