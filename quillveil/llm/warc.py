@@ -14,14 +14,16 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import stored
+from .common import parts_for, stored
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Shorter payloads are always stored.
 LEAST_REVISIT = 100
-#: Records in one archive at most: bounds what one reader holds.
-RECORDS = 20_000
+#: (payload bytes below which, records in one archive at most): a reader holds one archive, 160 MB of payload or 16 large ones.
+ARCHIVES = ((1 << 14, 10_000), (1 << 18, 640), (None, 16))
+#: Captures in one range of the merged index, about: bounds what one merge holds.
+RANGE = 250_000
 
 
 def url_key(url: Column) -> Column:
@@ -63,7 +65,11 @@ def archived(pages: DataFrame, path: str, scratch: str, page_id: str = "page_id"
         F.when(again, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">"))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS).text(path)
+    least = 0
+    for below, records in ARCHIVES:
+        some = rows.where((F.col("size") >= least) & (F.col("size") < below if below else F.lit(True)))
+        some.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).text(f"{path}/from-{least}")
+        least = below
 
 
 def _records(content: memoryview) -> Iterator[tuple]:
@@ -109,7 +115,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(work, CAPTURE + ", payload binary" * payloads)
 
 
@@ -148,15 +154,17 @@ class LoserTree:
 def merged_index(captures: DataFrame, scratch: str) -> DataFrame:
     """All captures in order of (url_key, captured_at, page_id), partition after partition.
 
-    The sorted run of each archive is written to the shared folder. A range boundary is a whole key, page id
-    included, so that the captures of one very common URL spread over as many partitions as they need; a partition's
-    runs are sorted on their own by Spark (which spills) and merged by a loser tree. Null URLs have the empty key.
+    The sorted run of each archive is written to the shared folder. There are as many ranges as keep each near `RANGE`
+    captures; a boundary is a whole key with the record's own place, which no two captures share, so that very common URLs
+    and repeated captures spread over as many ranges as they need. A shuffle doesn't keep the order of what it moves: what a
+    range has of each run is put in order by Spark (which spills), then the runs are merged by a loser tree. Null URLs have
+    the empty key.
     """
     runs = captures.withColumn("url_key", F.coalesce(url_key(F.col("url")), F.lit("")))
     runs = runs.sortWithinPartitions("run", "url_key", "captured_at", "page_id")
     runs = stored(runs, f"{scratch}/runs")
     order = ["url_key", "captured_at", "page_id"]
-    dealt = runs.repartitionByRange(*order).sortWithinPartitions("run", *order)
+    dealt = runs.repartitionByRange(parts_for(runs.count(), RANGE), *order, "run", "offset").sortWithinPartitions("run", *order)
     names = dealt.columns
     run_at, at = names.index("run"), [names.index(c) for c in order]
 
