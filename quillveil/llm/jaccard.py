@@ -61,9 +61,8 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
-    got = [(x or "").encode() for x in batch.column(column).to_pylist()]
-    for a, b in texthash.chunks([len(x) for x in got], CHUNK):
-        yield from zip(range(a, b), shingle_sets(got[a:b]), strict=True)
+    for a, b, texts in texthash.pieces(batch.column(column), CHUNK):
+        yield from zip(range(a, b), shingle_sets(texts), strict=True)
 
 
 def _parted(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:

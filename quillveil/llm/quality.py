@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from . import texthash
@@ -49,12 +50,6 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
-    got = [(x or "").encode() for x in column.to_pylist()]
-    for a, b in texthash.chunks([len(x) for x in got], CHUNK):
-        yield a, b, got[a:b]
-
-
 def wanted_ids(labels: DataFrame, wanted, doc_id: str = "doc_id", most: int = LABELS) -> np.ndarray:
     """Sorted ids of the wanted documents among about `most` labelled ones, by a threshold on the hashes of their ids:
     bounded, so collected. An id that is labelled twice is wanted if all its labels say so."""
@@ -88,11 +83,11 @@ def fitted(docs: DataFrame, ids: np.ndarray, doc_id: str = "doc_id", text: str =
         for batch in batches:
             target = _among(shared.value, batch.column(0))
             n += (target.sum(), len(target))
-            for a, b, texts in _texts(batch.column(1)):
+            for a, b, texts in texthash.pieces(batch.column(1), CHUNK):
                 bucket, of, times = grams(texts)
                 own = target[a:b][of]
-                sums[0] += np.bincount(bucket[own], minlength=BUCKETS).astype(np.int32)
-                sums[1] += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
+                np.add.at(sums[0], bucket[own], 1)
+                np.add.at(sums[1], bucket, 1)
                 np.add.at(sums[2], bucket[own], times[own])
                 np.add.at(sums[3], bucket, times)
         for k in range(PARTS if n[1] else 0):
@@ -137,22 +132,23 @@ def log_importance(model: np.ndarray, totals: np.ndarray, bucket: np.ndarray, ti
     return counted + np.where(bucket < WIDTH, told(np.log(seen_docs / due_docs)), 0)
 
 
-def scored(docs: DataFrame, ids: np.ndarray, model: np.ndarray, totals: np.ndarray, seed: int = 0, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, shared: Broadcast, seed: int = 0, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add log_weight (double) and key (log_weight with Gumbel noise) to each row; `keep`: the columns to hand on (None: all).
 
-    A text without words (null, empty), or whose words tell nothing, has log_weight 0. Repeated rows have equal keys. Columns named
+    `shared` has what `wanted_ids` and `fitted` return: ids, model, totals. A text without words (null, empty), or whose words tell nothing, has log_weight 0. Repeated rows have equal keys. Columns named
     log_weight or key are replaced. Each row is worked on alone: no shuffle.
     """
-    spark = docs.sparkSession
-    shared, own = spark.sparkContext.broadcast((model, totals)), spark.sparkContext.broadcast(ids)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("log_weight", "key")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(doc_id).cast("long").alias("__q_id"), F.col(text).cast("string").alias("__q_text"))
+    # A text that is handed on is sent once.
+    sent = keep.index(text) if text in keep and docs.schema[text].dataType.simpleString() == "string" else None
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(doc_id).cast("long").alias("__q_id"), *([F.col(text).cast("string").alias("__q_text")] if sent is None else []))
+    text_at = len(keep) + 1 if sent is None else sent
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, totals = shared.value
+        own, model, totals = shared.value
         for batch in batches:
-            target, score = _among(own.value, batch.column(len(keep))), np.zeros(batch.num_rows)
-            for a, b, texts in _texts(batch.column(len(keep) + 1)):
+            target, score = _among(own, batch.column(len(keep))), np.zeros(batch.num_rows)
+            for a, b, texts in texthash.pieces(batch.column(text_at), CHUNK):
                 bucket, of, times = grams(texts)
                 if totals[0, 0]:
                     score[a:b] = np.bincount(of, weights=log_importance(model, totals, bucket, times, target[a:b][of]), minlength=b - a)
@@ -200,9 +196,9 @@ def resampled(docs: DataFrame, labels: DataFrame, wanted, scratch: str, seed: in
     """
     spark = docs.sparkSession
     ids = wanted_ids(labels, wanted, doc_id)
-    model, totals = fitted(docs, ids, doc_id, text)
+    shared = spark.sparkContext.broadcast((ids, *fitted(docs, ids, doc_id, text)))
     keep = [c for c in (docs.columns if keep is None else keep if doc_id in keep else [doc_id, *keep]) if c != "kept"]
-    rows = stored(scored(docs, ids, model, totals, seed, doc_id, text, [doc_id]), f"{scratch}/scored")
+    rows = stored(scored(docs, shared, seed, doc_id, text, [doc_id]), f"{scratch}/scored")
     if k is None:
         known = spark.createDataFrame(pa.table({"__known": ids}))
         own = rows.join(known, F.col(doc_id) == F.col("__known"), "left_semi")
@@ -211,5 +207,5 @@ def resampled(docs: DataFrame, labels: DataFrame, wanted, scratch: str, seed: in
         edge = kth_largest(rows, "key", k) if k > 0 else math.inf
     if keep != [doc_id]:
         freed(spark, f"{scratch}/scored")
-        rows = scored(docs, ids, model, totals, seed, doc_id, text, keep)
+        rows = scored(docs, shared, seed, doc_id, text, keep)
     return rows.withColumn("kept", F.col("key") >= F.lit(edge) if edge is not None else F.lit(True))

@@ -82,9 +82,8 @@ class Joined:
 
 
 def _chunked(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    got = [(x or "").encode() for x in batch.column(column).to_pylist()]
-    for a, b in texthash.chunks([len(x) for x in got], CHUNK):
-        yield a, got[a:b]
+    for a, _, texts in texthash.pieces(batch.column(column), CHUNK):
+        yield a, texts
 
 
 def occurrences(docs: DataFrame, parts: int) -> DataFrame:

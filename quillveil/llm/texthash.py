@@ -7,7 +7,11 @@ same on every machine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -94,3 +98,10 @@ def chunks(sizes: list[int], most: int) -> list[tuple[int, int]]:
     if len(sizes) > start:
         out.append((start, len(sizes)))
     return out
+
+
+def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows of about `most` bytes together and their texts in UTF-8 (null: empty); no more than these are copied at once."""
+    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    for a, b in chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
+        yield a, b, [x or b"" for x in column.slice(a, b - a).to_pylist()]
