@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, embed, jaccard, pii, quality, suffix, token_counts, warc
+from . import bpe, chat, corpus_queries, decontaminate, embed, jaccard, pii, quality, suffix, token_counts, warc
 from .common import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -185,7 +185,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_importance_resampling": op10_importance_resampling,
     "op3_token_counts": op3_token_counts,
-}
+} | corpus_queries.QUERIES
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
@@ -194,4 +194,4 @@ ORACLE_SQL: dict[str, str] = {
     "op6_reply_trees": OP6_SQL,
     "op7_p_stable": OP7_SQL,
     "op9_jaccard_join": OP9_SQL,
-}
+} | corpus_queries.ORACLE_SQL
