@@ -1,12 +1,14 @@
 """Token and n-gram hashes of many texts at once, as numpy passes over their joined bytes.
 
-A token's hash is a polynomial over its bytes (one random-looking number a byte value), taken from running sums, so that
-its cost doesn't depend on its length; n-grams combine their tokens' hashes. All are unsigned 64-bit integers and the
-same on every machine.
+A token's hash takes eight bytes at a time and mixes them before the next ones come (a sum over bytes, modulo 2^64, has
+pairs of texts that collide whatever its numbers); tokens of up to eight bytes never collide with others of their length.
+n-grams combine their tokens' hashes. All are unsigned 64-bit integers and the same on every machine. The polynomial sums
+below are for byte ranges of bounded length.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,8 @@ import pyarrow.compute as pc
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 SPACE, WORD, OTHER = 0, 1, 2
+#: Ranges of more bytes are hashed one by one (BLAKE2b).
+LONG = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,6 +60,24 @@ def lowered(texts: list[bytes]) -> np.ndarray:
     return b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
 
 
+def hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes."""
+    eight = np.ndarray(len(b) + 1, "<u8", np.concatenate([b, np.zeros(8, np.uint8)]), strides=(1,))
+    left = ends - starts
+    h = _mix(left.astype(np.uint64) * np.uint64(_BASE))
+    todo = np.flatnonzero((left > 0) & (left <= LONG))
+    while len(todo):
+        word = eight[ends[todo] - left[todo]]
+        last = left[todo] < 8
+        word[last] &= (np.uint64(1) << (left[todo][last].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        h[todo] = _mix((h[todo] ^ word) * _STEP + np.uint64(_BASE))
+        left[todo] -= 8
+        todo = todo[left[todo] > 0]
+    for i in np.flatnonzero(left > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 class Tokens:
     """All tokens of some texts: hash, text number, first byte and end within the joined bytes."""
 
@@ -70,10 +92,7 @@ class Tokens:
         starts, ends = edge[:-1], edge[1:]
         keep = cls[starts] != SPACE
         self.starts, self.ends = starts[keep], ends[keep]
-        _reach(len(b) + 1)
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTES[b] * _powers[: len(b)], out=sums[1:])
-        self.hash = _mix((sums[self.ends] - sums[self.starts]) * _inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.bytes, self.hash = b, hashes(b, self.starts, self.ends)
         self.text = np.searchsorted(ends_at, self.starts, "right")
         self.n_texts = len(texts)
 

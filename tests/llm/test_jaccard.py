@@ -65,3 +65,20 @@ def test_one_row_of_each_component_stays(spark, scratch):
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert got == sorted([(1, base), (3, "other words that stand alone here"), (4, None), (4, None), (5, "six words of a repeated row"), (None, "words without any id at all"), (6, "")], key=str)
     assert J.one_of_each(df.limit(0), scratch + "2").count() == 0
+
+
+def test_words_that_collide_modulo_powers_of_two(spark, scratch):
+    for n in (1024, 2048, 4096, 8192):
+        one = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        docs = [(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one)]
+        rows = J.joined(spark.createDataFrame(docs, "doc_id long, text string"), f"{scratch}{n}").collect()
+        assert sorted(map(tuple, rows)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_hashes_of_ranges():
+    texts = [bytes([c]) * k for c in (0, 1, 97) for k in range(300)] + [b"x" * 300 + bytes([c]) for c in range(50)]
+    ends = np.cumsum([len(t) for t in texts])
+    h = texthash.hashes(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+    alone = [texthash.hashes(np.frombuffer(t, np.uint8), np.zeros(1, np.int64), np.array([len(t)]))[0] for t in texts]
+    assert h.tolist() == alone
+    assert len(set(h.tolist())) == len(set(texts))
