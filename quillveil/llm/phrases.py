@@ -164,7 +164,7 @@ def survivors(docs: DataFrame, parts: int, capacity: int, least: int = LEAST) ->
             yield result()
 
     schema = "part int, n int, numbers binary"
-    return docs.mapInArrow(emit, schema).repartition("part").sortWithinPartitions("part").mapInArrow(summed, schema)
+    return docs.mapInArrow(emit, schema).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(summed, schema)
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:

@@ -1,7 +1,9 @@
 import random
 import re
 
-from quillveil.llm import jaccard as J
+import numpy as np
+
+from quillveil.llm import jaccard as J, texthash
 
 low=str.maketrans({chr(c):chr(c+32) for c in range(65,91)})
 W = re.compile("[^\x20\x09-\x0D]+")
