@@ -13,13 +13,14 @@ MATCH = "array<struct<start:int,end:int,value:string>>"
 BLOCK = 512
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """(start, end, value) of a pattern's leftmost non-overlapping matches, in code points; the pattern never matches nothing.
 
     The same pattern splits off what lies between the matches, and running sums of lengths give exact places: over blocks
     of `BLOCK` matches first, then within each, so that the cost stays in proportion to the text.
     """
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"))
 
     def moved(at: Column, x: Column) -> Column:
         return at + F.length(x["gap"]) + F.coalesce(F.length(x["value"]), F.lit(0))

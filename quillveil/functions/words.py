@@ -7,6 +7,8 @@ import time
 import uuid
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import Column, functions as F
+
 from .patterns import B, WS, Pattern
 
 
@@ -25,11 +27,13 @@ class Word:
 
 # The ranges that decide a word's script, the first to occur in this order, and marks allowed in gaps.
 _SCRIPTS = (
-    ("cjk", "一-鿿"), ("cjk", "぀-ヿ"), ("hangul", "가-힯ᄀ-ᇿ"), ("arabic", "؀-ۿݐ-ݿࢠ-ࣿ"),
+    ("cjk", "一-鿿"), ("cjk", "぀-ヿ"), ("hangul", "가-힯ᄀ-ᇿ"), ("arabic", "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"),
     ("hebrew", "֐-׿"), ("devanagari", "ऀ-ॿ"), ("thai", "฀-๿"), ("thai", "຀-໿"), ("cyrillic", "Ѐ-ӿ"),
 )
 _MARKS = {"arabic": r"\x{64B}-\x{65F}\x{670}", "hebrew": r"\x{591}-\x{5C7}", "devanagari": r"\x{900}-\x{903}\x{93A}-\x{94F}\x{951}-\x{957}\x{962}-\x{963}", "thai": r"\x{E31}\x{E34}-\x{E3A}\x{E47}-\x{E4E}"}
 
+_BEFORE, _AFTER = rf"(?:^|(?<=[{WS}\p{{P}}]))", rf"(?:\z|(?=[{WS}\p{{P}}]))"
+
 
 def script(word: str) -> str:
     return next((name for name, chars in _SCRIPTS if re.search(f"[{chars}]", word)), "latin")
@@ -41,7 +45,7 @@ def regex(word: Word) -> str:
     gap = f"[{_MARKS.get(kind, '')} \\t]*"
     body = f"{gap}\\n?{gap}".join(re.sub(r"([^\w\s])", r"\\\1", c) if ord(c) < 128 else c for c in word.word)
     if word.whole_word:
-        before, after = rf"(?:^|(?<=[{WS}\p{{P}}]))", rf"(?:\z|(?=[{WS}\p{{P}}]))"
+        before, after = _BEFORE, _AFTER
         if kind == "latin":
             ascii_word = re.compile("[A-Za-z0-9_]")
             before = B if ascii_word.match(word.word[0]) else before
@@ -50,6 +54,31 @@ def regex(word: Word) -> str:
     return body if word.case_sensitive else f"(?iu){body}"
 
 
+#: What stands in gaps: blanks, and the marks of all scripts.
+BLANK = r" \t\n" + "".join(_MARKS.values())
+
+
+def compacted(text: Column) -> Column:
+    """A text without what may stand in gaps, case folded: if a word matches a text, its compact form is within that of the text."""
+    bare = F.regexp_replace(text, f"[{BLANK}]+", "")
+    # Upper case first: several small letters share one. Capital I with a dot folds to i alone, the final sigma to the other one, as in the patterns.
+    return F.translate(F.lower(F.translate(F.upper(bare), "\u0130", "i")), "\u03c2", "\u03c3")
+
+
+def regex_column(word: str, case_sensitive: str, whole_word: str) -> Column:
+    """What `regex` says, for columns of a table."""
+    w = F.col(word)
+    of_script = lambda values, default: F.coalesce(*(F.when(w.rlike(f"[{chars}]"), F.lit(values.get(name, default))) for name, chars in _SCRIPTS), F.lit(values.get("latin", default)))
+    gap = F.concat(F.lit("["), of_script(_MARKS, ""), F.lit(" \\t]*"))
+    escaped = lambda c: F.when(c.rlike(r"^[\x00-\x7F]$") & ~c.rlike(r"^[\w\s]$"), F.concat(F.lit("\\"), c)).otherwise(c)
+    body = F.call_function("array_join", F.transform(F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0)), escaped), F.concat(gap, F.lit("\\n?"), gap))
+    latin = of_script({"latin": True}, False)
+    before = F.when(latin & w.rlike("^[A-Za-z0-9_]"), B).otherwise(_BEFORE)
+    after = F.when(latin & w.rlike(r"[A-Za-z0-9_]\z"), B).otherwise(_AFTER)
+    body = F.when(F.col(whole_word), F.concat(before, body, after)).otherwise(body)
+    return F.when(F.col(case_sensitive), body).otherwise(F.concat(F.lit("(?iu)"), body))
+
+
 def as_pattern(word: Word) -> Pattern:
     return Pattern(f"Predefined: {word.word}", "CUSTOM", regex(word), 1.0)
 
