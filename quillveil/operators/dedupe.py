@@ -60,14 +60,19 @@ def apart(spans: Column) -> Column:
     return F.flatten(F.transform(F.aggregate(by_start, start, island, lambda acc: acc["done"]), best))
 
 
-def by_place(entities: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
+def by_place(entities: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_number"), scratch: str | None = None) -> DataFrame:
     """One entity a place of a page. Boxes that overlap by more than `OVERLAP` are one place (the most confident entity stays), and so are
     equal texts (in any case) whose boxes nearly coincide: found by one method the most confident stays, by two the place's first,
     as ml_ner with the mean confidence.
 
     Entities come by rows of `TOLERANCE` units, x, pattern and place in the text; each joins the first place that takes it, or begins
-    its own. A page's entities are folded within one row; column bbox (struct) has x, y, width, height.
+    its own. A page's entities are folded within one row, at the cost of its places times its entities; with a shared folder for
+    steps (`scratch`) they are joined by grid cells instead, which suits pages of any size (see `spatial.places`). Column bbox (struct) has x, y, width, height.
     """
+    if scratch:
+        from .spatial import places
+
+        return places(entities, scratch, keys, OVERLAP, TOLERANCE)
     own = F.struct(*entities.columns)
     rank = F.struct(F.floor(F.col("bbox.y") / TOLERANCE).alias("row"), F.col("bbox.x").alias("x"), F.col("pattern_ordinal").alias("o"), F.col("text_index").alias("t"), own.alias("e"))
     pages = entities.groupBy(*keys).agg(F.array_sort(F.collect_list(rank)).alias("__sorted"))
@@ -95,11 +100,6 @@ def by_place(entities: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_numbe
 
 def spatial_anti_join(found: DataFrame, taken: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_number"), tolerance: float = 2.0) -> DataFrame:
     """Rows of `found` that coincide with no row of `taken` on their page."""
-    t = taken.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("bbox").alias("__b"))
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"__{k}"))
-    for k in ("x", "y", "width", "height"):
-        cond = cond & (F.abs(F.col(f"bbox.{k}") - F.col(f"__b.{k}")) < tolerance)
-    return found.join(t, cond, "left_anti")
+    from .spatial import near_anti_join
 
+    return near_anti_join(found, taken, keys, tolerance)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import wordlists
-from .queries import _table, documents
+from .operators import dedupe, layout, pagesearch, wordlists
+from .page_queries import _ITEMS, PLACE_SQL, _page_entities
+from .queries import _pages, _table, documents
+from .storage import shared_dir
 
 # --- word tables --------------------------------------------------------------------------------------------------------
 
@@ -51,8 +53,79 @@ WITH base AS (SELECT min(id) AS id, word, cs, ww, min(t) AS t FROM (SELECT 'c' |
 SELECT id, word, cs AS case_sensitive, ww AS whole_word, t AS created_at FROM kept WHERE NOT (id LIKE 'n%' AND t % 7 = 0)
 """
 
+# --- pages ----------------------------------------------------------------------------------------------------------------
+
+
+def _hyphen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laid-out documents whose longer words are split at the ends of lines."""
+    d = documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", "([a-z]{8})([a-z]{2,})", "$1-\n$2"))
+    lines = F.split("text", "\n")
+    line = lambda t, i: F.struct(t.alias("text"), F.struct(F.lit(10.0).alias("x"), (i * 12.0).alias("y"), (F.length(t) * 5.0).alias("w"), F.lit(10.0).alias("h")).alias("bbox"))
+    return d.select("doc_id", F.lit(1).alias("page_number"), F.lit(800.0).alias("height"), F.array(F.struct(F.transform(lines, line).alias("lines"))).alias("blocks"), "text")
+
+
+def page_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common words (over 100 hits on long pages), a word split by a hyphen and one pair of words across a line break, on each page."""
+    pages = _hyphen_pages(spark, sf_dir)
+    needles = F.array(F.lit("the"), F.lit("of the"), F.regexp_extract("text", "[a-z]{8}-\n[a-z]{2,}", 0), F.regexp_extract("text", "[a-z]+\n[A-Za-z]+", 0))
+    needles = pages.select("doc_id", "page_number", F.explode(needles).alias("text"))
+    found = pagesearch.search(layout.text_items(pages), needles, 600.0)
+    return found.select("doc_id", "text", "variant", "hit", F.size("quads").alias("n_lines"), *(F.round(F.col(f"bbox.{k}"), 6).alias(k) for k in ("x", "y", "width", "height")))
+
+
+PAGE_SEARCH_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_replace(text, '([a-z]{{8}})([a-z]{{2,}})', '\1-' || chr(10) || '\2', 'g') AS text FROM documents),
+     w AS (SELECT *, coalesce(lead(i) OVER o <> i, false) AND w LIKE '%-' AND length(w) > 1 AS cut FROM ({_ITEMS.replace("FROM documents", "FROM d")}) WHERE w <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i, k)),
+     v AS (SELECT *, CASE WHEN cut THEN left(w, length(w) - 1) ELSE w END AS shown, CASE WHEN cut THEN '' ELSE ' ' END AS sep FROM w),
+     items AS (SELECT *, coalesce(sum(length(shown) + length(sep)) OVER (PARTITION BY doc_id ORDER BY i, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS a FROM v),
+     page AS (SELECT doc_id, string_agg(shown || sep, '' ORDER BY i, k) AS page FROM items GROUP BY doc_id),
+     asked AS (SELECT DISTINCT doc_id, unnest(['the', 'of the', regexp_extract(text, '[a-z]{{8}}-
+[a-z]{{2,}}'), regexp_extract(text, '[a-z]+
+[A-Za-z]+')]) AS text FROM d),
+     forms AS (SELECT doc_id, text, k AS variant, '(?i)' || regexp_replace([text, replace(text, '-' || chr(10), chr(10)), replace(text, '-' || chr(10), ''), replace(text, chr(10), '')][k + 1], '\s+', ' ', 'g') AS re
+               FROM asked, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE text <> '' AND (k = 0 OR k = 3 AND contains(text, chr(10)) OR contains(text, '-' || chr(10)))),
+     chosen AS (SELECT f.*, page FROM forms f JOIN page USING (doc_id) WHERE regexp_matches(page, re) QUALIFY row_number() OVER (PARTITION BY doc_id, text ORDER BY variant) = 1),
+     cuts AS (SELECT doc_id, text, variant, regexp_split_to_array(page, re) AS g, regexp_extract_all(page, re) AS m FROM chosen),
+     hits AS (SELECT doc_id, text, variant, h - 1 AS hit, (list_sum(list_transform(g[1:h], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:h - 1], lambda x: length(x))), 0))::INT AS s, length(m[h]) AS size
+              FROM (SELECT *, unnest(range(1, least(len(m), 100) + 1)) AS h FROM cuts)),
+     met AS (SELECT hits.*, i, 10 + k * (length(t) * 5.0 / n) + 5.0 * greatest(s - a, 0) AS x, 800.0 - 12.0 * i - 10.0 AS y, 5.0 * (least(s + size, a + length(shown)) - a - greatest(s - a, 0)) AS wide
+             FROM hits JOIN items USING (doc_id) WHERE s < a + length(shown) AND s + size > a),
+     quads AS (SELECT doc_id, text, variant, hit, i, min(x) AS x, min(y) AS y, max(x + wide) AS x1, max(y + 10.0) AS y1 FROM met GROUP BY ALL),
+     ends AS (SELECT doc_id, text, hit, first((x + x1) / 2 ORDER BY i) AS fx, first((y + y1) / 2 ORDER BY i) AS fy, last((x + x1) / 2 ORDER BY i) AS lx, last((y + y1) / 2 ORDER BY i) AS ly FROM quads GROUP BY ALL),
+     fresh AS (SELECT *, coalesce(contains(text, chr(10)) AND abs(fy - lag(ly) OVER o) < 20 AND abs(fx - lag(lx) OVER o) < 180, false) AS joined FROM ends WINDOW o AS (PARTITION BY doc_id, text ORDER BY hit)),
+     numbered AS (SELECT doc_id, text, hit, (sum((NOT joined)::INT) OVER (PARTITION BY doc_id, text ORDER BY hit) - 1)::INT AS no FROM fresh)
+SELECT doc_id, text, variant::INT AS variant, no AS hit, count(*)::INT AS n_lines, round(min(x), 6)::DOUBLE AS x, round(min(y), 6)::DOUBLE AS y, round(max(x1) - min(x), 6)::DOUBLE AS width, round(max(y1) - min(y), 6)::DOUBLE AS height
+FROM quads JOIN numbered USING (doc_id, text, hit) GROUP BY doc_id, text, variant, no
+"""
+
+
+def selected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands under a box over each page's upper left, where a form field lies on every second page."""
+    k = F.col("doc_id")
+    bounds = F.struct(F.lit(20.0).alias("x"), F.lit(770.0).alias("y"), F.lit(30.0).alias("width"), F.lit(4.0).alias("height"))
+    fields = documents(spark, sf_dir).where(k % 2 == 0).select("doc_id", F.lit(1).alias("page_number"), F.lit(0).alias("field_no"), F.concat(F.lit("f"), k.cast("string")).alias("name"), F.lit("").alias("label"), F.concat(F.lit("value "), (k % 10).cast("string")).alias("value"), bounds.alias("bounds"))
+    box = F.struct(F.lit(10.0).alias("x"), F.lit(760.0).alias("y"), F.lit(60.0).alias("width"), F.lit(40.0).alias("height"))
+    boxes = documents(spark, sf_dir).select("doc_id", F.lit(1).alias("page_number"), F.lit(1).alias("box_id"), box.alias("bbox"))
+    return layout.selected_text(boxes, layout.text_items(_pages(spark, sf_dir)), fields=fields).select("doc_id", "text", "form_field_name")
+
+
+SELECTED_FIELDS_SQL = f"""
+WITH t AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i, k) AS text FROM ({_ITEMS}) WHERE w <> '' AND 10 + k * (length(t) * 5.0 / n) <= 70
+  AND 800.0 - 12.0 * i - 10.0 <= 800 AND 800.0 - 12.0 * i >= 760 AND 10 + k * (length(t) * 5.0 / n) + length(w)::DOUBLE / length(t) * (length(t) * 5.0) >= 10 GROUP BY doc_id)
+SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN 'value ' || doc_id % 10 || ' f' || doc_id || ' ' ELSE '' END || coalesce(t.text, '')) AS text, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id END AS form_field_name
+FROM documents LEFT JOIN t USING (doc_id) WHERE doc_id % 2 = 0 OR t.text IS NOT NULL
+"""
+
+
+def place_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of `place_dedupe`, found by joins in grid cells and rounds."""
+    kept = dedupe.by_place(_page_entities(spark, sf_dir), scratch=shared_dir(spark))
+    return kept.select("doc_id", "text", "pattern_ordinal", F.round("confidence", 6).alias("confidence"), "detection_method")
+
+
 _ALL = {
     "word_table_matches": (word_table_matches, WORD_TABLE_SQL), "word_list_upkeep": (word_list_upkeep, WORD_LIST_SQL),
+    "page_search": (page_search, PAGE_SEARCH_SQL), "selected_fields": (selected_fields, SELECTED_FIELDS_SQL), "place_joins": (place_joins, PLACE_SQL),
 }
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
