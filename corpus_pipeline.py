@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillveil.llm import bpe, decontaminate, jaccard, pii, quality
-from quillveil.llm.common import shared_dir, table, tidy
+from quillveil.llm.common import removed, shared_dir, table, tidy, workspace
 from quillveil.llm.queries import RANKS, WANTED
 
 
@@ -55,12 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`STAGES` applied to `documents` in turn. An empty table gives no rows."""
-    docs, scratch = table(spark, sf_dir, "documents"), shared_dir(spark)
+    """`STAGES` applied to `documents` in turn. An empty table gives no rows. What a stage wrote for itself goes when its result is written, and that result when the next one's is."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for k, (_, stage) in enumerate(STAGES):
         out = f"{scratch}/stage-{k}"
-        kept = stage(spark, docs, sf_dir)
-        with tidy(spark):
-            kept.write.parquet(out)
-        docs = spark.read.parquet(out)
+        with workspace(spark), tidy(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs

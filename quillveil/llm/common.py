@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import storage
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -17,18 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of the workspaces that are open, innermost last.
+_WORKSPACES: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every executor can reach.
-
-    Only where the session names none and all runs on this machine (tests) is a temporary folder made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-quillveil-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/quillveil-{uuid.uuid4().hex}"
+    """A fresh folder below the open workspace, or else below spark.checkpoint.dir (see `storage.shared_dir`)."""
+    return f"{_WORKSPACES[-1]}/{uuid.uuid4().hex}" if _WORKSPACES else storage.shared_dir(spark)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared ones."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """A folder for all steps within, which is deleted at the end: what comes of them must be written elsewhere by then."""
+    path = storage.shared_dir(spark)
+    _WORKSPACES.append(path)
+    try:
+        yield path
+    finally:
+        _WORKSPACES.remove(path)
+        removed(spark, path)
 
 
 #: Spark's own setting: a finished write's shuffle files go at once, not when the driver happens to collect its garbage.

@@ -173,3 +173,13 @@ def test_stages_keep_clean_documents(spark):
     ids = [r.doc_id for r in rows]
     assert len(set(ids)) == len(ids) and 0.4 * docs.count() < len(ids) < docs.count()
     assert out.columns == ["doc_id", "lang", "source", "token_ids", "n_tokens"] and all(len(r.token_ids) == 4 * r.n_tokens for r in rows)
+
+
+def test_finished_stages_leave_nothing(spark):
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(root))
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    (own,) = set(os.listdir(root)) - before
+    assert os.listdir(f"{root}/{own}") == [f"stage-{len(corpus_pipeline.STAGES) - 1}"]
