@@ -29,7 +29,7 @@ SCALE = 2_000_000
 #: Bytes of text that one hash partition answers for, about: partitions grow in number with the input, not in size.
 PART = 48 << 20
 #: Bytes of text worked on at once, and n-grams held before they are handed on.
-CHUNK, BUFFER = 2 << 20, 1 << 23
+CHUNK, BUFFER = 1 << 20, 1 << 21
 #: Bits of the survivors' bitmap for each of them, and in all at most (32 MB): when it is full it drops less, which changes no result.
 BITS, MOST_BITS = 16, 1 << 28
 #: Parts in which the bitmap is put together.
