@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import dedupe, layout, pagesearch, wordlists
+from .operators import dedupe, layout, ner, pagesearch, wordlists
 from .page_queries import _ITEMS, PLACE_SQL, _page_entities
+from .plans import pages
 from .queries import _pages, _table, documents
 from .storage import shared_dir
 
@@ -66,10 +67,10 @@ def _hyphen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Common words (over 100 hits on long pages), a word split by a hyphen and one pair of words across a line break, on each page."""
-    pages = _hyphen_pages(spark, sf_dir)
+    laid = _hyphen_pages(spark, sf_dir)
     needles = F.array(F.lit("the"), F.lit("of the"), F.regexp_extract("text", "[a-z]{8}-\n[a-z]{2,}", 0), F.regexp_extract("text", "[a-z]+\n[A-Za-z]+", 0))
-    needles = pages.select("doc_id", "page_number", F.explode(needles).alias("text"))
-    found = pagesearch.search(layout.text_items(pages), needles, 600.0)
+    needles = laid.select("doc_id", "page_number", F.explode(needles).alias("text"))
+    found = pagesearch.search(layout.text_items(laid), needles, 600.0)
     return found.select("doc_id", "text", "variant", "hit", F.size("quads").alias("n_lines"), *(F.round(F.col(f"bbox.{k}"), 6).alias(k) for k in ("x", "y", "width", "height")))
 
 
@@ -123,8 +124,68 @@ def place_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "pattern_ordinal", F.round("confidence", 6).alias("confidence"), "detection_method")
 
 
+# --- named entities -------------------------------------------------------------------------------------------------------
+
+
+def rule_model():
+    """A small model of rules: capitalised words of six letters or more, with a long word behind, are persons; words come in pieces, as a tokeniser's do."""
+    import re
+
+    words = re.compile("[A-Z][a-z]{5,}(?: [a-z]{7,})?")
+
+    def tokens(text: str) -> list[dict]:
+        out = []
+        for m in words.finditer(text):
+            for k, w in enumerate(re.finditer(r"\S+", m.group())):
+                at, tag = m.start() + w.start(), "I-PER" if k else "B-PER"
+                out.append({"word": w.group()[:4], "entity": tag, "score": len(w.group()) / 100, "start": at, "end": at + 4})
+                out.append({"word": f"##{w.group()[4:]}", "entity": tag, "score": 0.1, "start": at + 4, "end": at + len(w.group())})
+        return out
+
+    return lambda texts: [tokens(t) for t in texts]
+
+
+MODEL = ner.Made("rules", rule_model)
+
+
+def named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons that a model of rules finds in the documents' chunks, by all ways to score words."""
+    found = None
+    for strategy in ("first", "max", "average"):
+        own = ner.entities(documents(spark, sf_dir), MODEL, strategy=strategy).withColumn("strategy", F.lit(strategy))
+        found = own if found is None else found.unionByName(own)
+    return found.select("doc_id", "strategy", "text", "entity_type", F.round("confidence", 6).alias("confidence"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+NAMED_SQL = r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{5,}(?: [a-z]{7,})?') AS a, regexp_split_to_array(text, '[A-Z][a-z]{5,}(?: [a-z]{7,})?') AS g FROM documents),
+     e AS (SELECT doc_id, a[i] AS text, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(a[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM m)),
+     f AS (SELECT doc_id, text, min(start) AS start FROM e GROUP BY doc_id, text),
+     s AS (SELECT *, list_transform(string_split(text, ' '), lambda w: length(w) / 100.0) AS first FROM f)
+SELECT doc_id, strategy, text, 'PERSON' AS entity_type, round(list_avg(list_transform(first, lambda x: CASE strategy WHEN 'first' THEN x WHEN 'max' THEN greatest(x, 0.1) ELSE (x + 0.1) / 2 END)), 6)::DOUBLE AS confidence, start, start + length(text) AS "end"
+FROM s, (SELECT unnest(['first', 'max', 'average']) AS strategy)
+"""
+
+
+def named_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's entities on laid-out pages, with the box of their first hit."""
+    found = pages.named(_pages(spark, sf_dir), MODEL, 600.0)
+    return found.select("doc_id", "text", F.round("bbox.x", 6).alias("x"), F.round("bbox.y", 6).alias("y"), F.round("bbox.width", 6).alias("width"), F.round("bbox.height", 6).alias("height"))
+
+
+NAMED_PLACES_SQL = rf"""
+WITH items AS (SELECT *, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS a FROM ({_ITEMS}) WHERE w <> ''),
+     page AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i, k) || ' ' AS page, string_agg(w, ' ' ORDER BY i, k) AS flat FROM items GROUP BY doc_id),
+     lines AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, i, string_agg(w, ' ' ORDER BY k) AS l FROM items GROUP BY doc_id, i) GROUP BY doc_id),
+     e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{{5,}}(?: [a-z]{{7,}})?')) AS text FROM lines),
+     h AS (SELECT doc_id, text, position(lower(text) IN lower(page)) - 1 AS s, length(text) AS size FROM e JOIN page USING (doc_id)),
+     met AS (SELECT doc_id, text, 10 + k * (length(t) * 5.0 / n) + 5.0 * greatest(s - a, 0) AS x, 800.0 - 12.0 * i - 10.0 AS y, 5.0 * (least(s + size, a + length(w)) - a - greatest(s - a, 0)) AS wide FROM h JOIN items USING (doc_id) WHERE s < a + length(w) AND s + size > a)
+SELECT doc_id, text, round(min(x), 6)::DOUBLE AS x, round(min(y), 6)::DOUBLE AS y, round(max(x + wide) - min(x), 6)::DOUBLE AS width, round(max(y + 10.0) - min(y), 6)::DOUBLE AS height FROM met GROUP BY doc_id, text
+"""
+
 _ALL = {
     "word_table_matches": (word_table_matches, WORD_TABLE_SQL), "word_list_upkeep": (word_list_upkeep, WORD_LIST_SQL),
+    "named_entities": (named_entities, NAMED_SQL), "named_places": (named_places, NAMED_PLACES_SQL),
     "page_search": (page_search, PAGE_SEARCH_SQL), "selected_fields": (selected_fields, SELECTED_FIELDS_SQL), "place_joins": (place_joins, PLACE_SQL),
 }
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
