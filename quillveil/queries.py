@@ -374,15 +374,11 @@ SELECT item_id, trim(string_agg(word, ' ' ORDER BY g)) AS text, CASE substr(min_
 
 def streamed_counts(spark, sf_dir):
     """The documents as a stream of files, detected and written once; counts of what was written."""
-    import tempfile
-    import uuid
-
+    from .storage import shared_dir
     from .streaming import detection
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-quillveil-")
-    path = f"{root.rstrip('/')}/quillveil-{uuid.uuid4().hex}"
-    batch = _table(spark, sf_dir, "documents")
-    source = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/documents.parquet")
+    path = shared_dir(spark)
+    source = detection.source(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "documents").schema)
     detection.started(detection.entities(source.select("doc_id", "text")).select("doc_id", "entity_type", "confidence"), f"{path}/out", f"{path}/log").awaitTermination()
     return spark.read.schema("doc_id long, entity_type string, confidence double").parquet(f"{path}/out").groupBy("entity_type").agg(F.count("*").alias("n"))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .config import MEDIUM
 from .operators import dedupe, layout, ner, pagesearch, wordlists
-from .page_queries import _ITEMS, PLACE_SQL, _page_entities
+from .page_queries import _ITEMS, PATTERNS, PLACE_SQL, _page_entities
 from .plans import pages
-from .queries import _pages, _table, documents
+from .queries import _detect_sql, _pages, _table, documents
 from .storage import shared_dir
+from .streaming import detection
 
 # --- word tables --------------------------------------------------------------------------------------------------------
 
@@ -183,9 +185,31 @@ WITH items AS (SELECT *, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id O
 SELECT doc_id, text, round(min(x), 6)::DOUBLE AS x, round(min(y), 6)::DOUBLE AS y, round(max(x + wide) - min(x), 6)::DOUBLE AS width, round(max(y + 10.0) - min(y), 6)::DOUBLE AS height FROM met GROUP BY doc_id, text
 """
 
+# --- streams ----------------------------------------------------------------------------------------------------------------
+
+
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities an hour and type over a folder that grows between two runs: a document a minute, some delivered twice, some far too late."""
+    d, path = documents(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("doc_id") * 60)), shared_dir(spark)
+    half = ((d.agg(F.max("doc_id")).first()[0] or 0) + 1) // 2
+    again, late = d.where(f"doc_id >= {half - 5} AND doc_id < {half}"), d.where(f"doc_id < {half // 4} AND doc_id % 7 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    for part in (d.where(f"doc_id < {half}"), d.where(f"doc_id >= {half}").unionByName(again).unionByName(late)):
+        part.write.mode("append").parquet(f"{path}/in")
+        found = detection.entities(detection.stamped(detection.source(spark, f"{path}/in", d.schema)), patterns=PATTERNS, use_scripts=False)
+        hours = detection.counts(detection.once(found), window="1 hour", late=None).select(F.unix_timestamp("window.start").alias("hour"), "entity_type", "n")
+        detection.started(hours, f"{path}/out", f"{path}/log").awaitTermination()
+    return spark.read.schema("hour long, entity_type string, n long").parquet(f"{path}/out").select((F.col("hour") / 3600).cast("long").alias("hour"), "entity_type", "n")
+
+
+STREAMED_WINDOWS_SQL = f"""
+SELECT doc_id // 60 AS hour, entity_type, count(*) AS n FROM ({_detect_sql("documents", "doc_id", PATTERNS, use_scripts=False)})
+WHERE confidence >= {MEDIUM} AND (doc_id // 60 + 1) * 60 <= (SELECT max(doc_id) - 10 FROM documents) GROUP BY ALL
+"""
+
 _ALL = {
     "word_table_matches": (word_table_matches, WORD_TABLE_SQL), "word_list_upkeep": (word_list_upkeep, WORD_LIST_SQL),
     "named_entities": (named_entities, NAMED_SQL), "named_places": (named_places, NAMED_PLACES_SQL),
+    "streamed_windows": (streamed_windows, STREAMED_WINDOWS_SQL),
     "page_search": (page_search, PAGE_SEARCH_SQL), "selected_fields": (selected_fields, SELECTED_FIELDS_SQL), "place_joins": (place_joins, PLACE_SQL),
 }
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
