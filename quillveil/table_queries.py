@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .config import MEDIUM
-from .operators import dedupe, layout, ner, pagesearch, wordlists
+from .config import MEDIUM, TYPES
+from .operators import dedupe, feedback, layout, ner, pagesearch, wordlists
 from .page_queries import _ITEMS, PATTERNS, PLACE_SQL, _page_entities
 from .plans import pages
 from .queries import _detect_sql, _pages, _table, documents
+from .sources import pdf
 from .storage import shared_dir
 from .streaming import detection
 
@@ -206,10 +207,109 @@ SELECT doc_id // 60 AS hour, entity_type, count(*) AS n FROM ({_detect_sql("docu
 WHERE confidence >= {MEDIUM} AND (doc_id // 60 + 1) * 60 <= (SELECT max(doc_id) - 10 FROM documents) GROUP BY ALL
 """
 
+# --- feedback ---------------------------------------------------------------------------------------------------------------
+
+
+def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correction for each order line: the surer a detection, the more often it is confirmed."""
+    l = _table(spark, sf_dir, "lineitem")  # noqa: E741
+    sure = (F.lit(0.5) + (F.col("l_partkey") % 50) / 100.0).alias("confidence")
+    luck = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_suppkey")) % 100
+    kind = F.when(luck < 40 + F.col("l_partkey") % 50, "confirm").otherwise(F.element_at(F.array(*map(F.lit, ("false_positive", "reclassify", "boundary_correction", "false_negative"))), (F.col("l_linenumber") % 4 + 1).cast("int")))
+    return l.select((F.unix_date(F.col("l_shipdate").cast("date")).cast("long") * 86_400_000).alias("at"), kind.alias("action"), F.element_at(F.array(*map(F.lit, TYPES)), (F.col("l_suppkey") % 9 + 1).cast("int")).alias("entity_type"), F.col("l_linestatus").alias("pattern_name"), F.col("l_returnflag").alias("detection_method"), sure)
+
+
+_FEEDBACK = f"""(SELECT epoch_ms(l_shipdate::DATE::TIMESTAMP) AS ms, CASE WHEN (l_orderkey * 7 + l_linenumber * 13 + l_suppkey) % 100 < 40 + l_partkey % 50 THEN 'confirm' ELSE ['false_positive', 'reclassify', 'boundary_correction', 'false_negative'][l_linenumber % 4 + 1] END AS action,
+  {list(TYPES)!r}[l_suppkey % 9 + 1] AS entity_type, l_linestatus AS pattern_name, l_returnflag AS detection_method, (0.5 + (l_partkey % 50) / 100.0)::DOUBLE AS confidence FROM lineitem)"""
+
+
+def feedback_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates over all corrections, and the share of confirmed detections of each type."""
+    rows = feedback.analytics(_feedback(spark, sf_dir), 4)
+    whole = rows.select(*(F.round(F.col(c).cast("double"), 9).alias(c) for c in rows.columns if c != "accuracy_by_type"), "accuracy_by_type")
+    return whole.select(*whole.columns[:-1], F.explode("accuracy_by_type").alias("entity_type", "accuracy")).withColumn("accuracy", F.round("accuracy", 9))
+
+
+FEEDBACK_SQL = f"""
+WITH f AS (SELECT *, ms <= (min(ms) OVER () + max(ms) OVER ()) / 2.0 AS early FROM {_FEEDBACK}),
+     a AS (SELECT count_if(action <> 'confirm') AS c, count_if(action = 'false_positive') AS fp, count_if(action = 'false_negative') AS fn, count_if(action <> 'false_negative') AS d, count_if(action IN ('confirm', 'boundary_correction', 'reclassify')) AS th,
+             count_if(action = 'confirm' AND early) / count_if(action <> 'false_negative' AND early) AS before, count_if(action = 'confirm' AND NOT early) / count_if(action <> 'false_negative' AND NOT early) AS after FROM f)
+SELECT c::DOUBLE AS total_corrections, round(fp / d, 9) AS false_positive_rate, round(fn / (fn + th), 9) AS false_negative_rate, 4::DOUBLE AS custom_patterns_created, round(100 * (after - before) / before, 9) AS improvement_rate, entity_type, accuracy
+FROM a, (SELECT entity_type, round(count_if(action = 'confirm') / count_if(action <> 'false_negative'), 9) AS accuracy FROM f GROUP BY entity_type)
+"""
+
+
+def feedback_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated confidences by type, a row a bin, with the threshold for a precision of 0.7."""
+    table = feedback.calibration(_feedback(spark, sf_dir), bins=20)
+    at = feedback.thresholds(table, 0.7, bins=20).withColumnRenamed("entity_type", "t")
+    rows = table.join(at, F.col("entity_type") == F.col("t"))
+    return rows.select("entity_type", F.explode(F.sequence("from_bin", "to_bin")).alias("bin"), F.round("calibrated", 9).alias("calibrated"), "threshold")
+
+
+CALIBRATION_SQL = f"""
+WITH b AS (SELECT entity_type, least(floor(confidence * 20), 19)::INT AS bin, count(*) AS n, count_if(action = 'confirm') AS r FROM {_FEEDBACK} WHERE action <> 'false_negative' GROUP BY ALL),
+     p AS (SELECT entity_type, bin, sum(n) OVER o AS n, sum(r) OVER o AS r, sum(n) OVER o - n AS n0, sum(r) OVER o - r AS r0 FROM b WINDOW o AS (PARTITION BY entity_type ORDER BY bin)),
+     m AS (SELECT i.entity_type, i.bin, j.bin AS j, min((k.r - j.r0) / (k.n - j.n0)) AS least FROM p i JOIN p j ON j.entity_type = i.entity_type AND j.bin <= i.bin JOIN p k ON k.entity_type = i.entity_type AND k.bin >= i.bin GROUP BY ALL),
+     c AS (SELECT entity_type, bin, max(least) AS c FROM m GROUP BY ALL)
+SELECT entity_type, bin, round(c, 9) AS calibrated, (min(CASE WHEN c >= 0.7 THEN bin END) OVER (PARTITION BY entity_type) / 20.0)::DOUBLE AS threshold FROM c
+"""
+
+
+# --- the contract of pages ------------------------------------------------------------------------------------------------
+
+
+def _page_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of JSON lines, a page a document; some are cut off, some have a field of another type, no number or no size."""
+    d, k = documents(spark, sf_dir), F.col("doc_id")
+    line = lambda t: F.struct(t.alias("text"), F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("w"), F.lit(4.0).alias("h")).alias("bbox"))
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.transform(F.split("text", "\n"), line).alias("lines")))
+    image = lambda data: F.struct(data.alias("data"), F.lit(8).alias("width"), F.lit(6).alias("height"), F.array(*(F.lit(float(x)) for x in (10, 20, 40, 60))).alias("bbox"))
+    pictures = F.array(image(F.lit("*")), image(F.base64(F.encode(F.substring("text", 1, 90), "UTF-8"))), image(F.base64(F.encode(k.cast("string"), "UTF-8"))))
+    layers = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.struct(F.when(i != 1, F.concat(F.lit("L"), i.cast("string"))).alias("name"), (i % 2 == 0).alias("visible")))
+    meta = F.create_map(F.lit("info:Title"), F.concat(F.lit(" T"), k.cast("string")), F.lit("info:CreationDate"), F.concat(F.lit("D:20"), F.lpad((k % 30).cast("string"), 2, "0"), F.lit("0102030405Z")))
+    page = lambda number, height: F.to_json(F.struct("doc_id", number.alias("page_number"), F.lit(600.0).alias("width"), height.alias("height"), blocks.alias("blocks"), meta.alias("metadata"), layers.alias("layers"), pictures.alias("images")))
+    good = page(F.lit(1), F.lit(800.0))
+    text = F.when(k % 10 == 3, F.concat(F.lit("<"), good)).when(k % 10 == 5, page(F.lit("one"), F.lit(800.0))).when(k % 10 == 7, page(F.lit(None).cast("int"), F.lit(800.0))).when(k % 10 == 9, page(F.lit(1), F.lit(0.0))).otherwise(good)
+    path = f"{shared_dir(spark)}/pages"
+    d.select(text.alias("value")).write.text(path)
+    return path
+
+
+def page_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What good pages hold: lines, images with their boxes, layers with the invisible ones, dates of their metadata."""
+    rows = pdf.sound(pdf.read(spark, _page_lines(spark, sf_dir)))
+    found = rows.select(F.col("doc_id").alias("d"), F.size(F.flatten(F.transform("blocks", lambda b: b["lines"]))).alias("n_lines"), F.element_at(pdf.metadata(F.col("metadata")), "creationDate").alias("created"))
+    pictures = pdf.images(rows).groupBy(F.col("doc_id").alias("i")).agg(F.count("*").alias("n_images"), F.max("filename").alias("last_image"), F.sha2(F.min_by("data", "image"), 256).alias("first_image"), F.min("bbox.width").alias("width"), F.min("bbox.height").alias("height"))
+    layers = pdf.layer_findings(rows)
+    joined = found.join(pictures, F.col("d") == F.col("i"), "left").join(layers, F.col("d") == F.col("doc_id"), "left")
+    return joined.select(F.col("d").alias("doc_id"), "n_lines", "created", "n_images", "last_image", "first_image", "width", "height", "layers", F.array_join("hidden", ",").alias("hidden"))
+
+
+PAGE_CONTRACT_SQL = """
+SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, '20' || lpad((doc_id % 30)::VARCHAR, 2, '0') || '-01-02T03:04:05Z' AS created, CASE WHEN text = '' THEN 1 ELSE 2 END::BIGINT AS n_images,
+  'image-page1-' || CASE WHEN text = '' THEN 1 ELSE 2 END || '.png' AS last_image, sha256(CASE WHEN text = '' THEN doc_id::VARCHAR ELSE substr(text, 1, 90) END) AS first_image, 30.0::DOUBLE AS width, 40.0::DOUBLE AS height,
+  (doc_id % 4 + 1)::INT AS layers, ['', 'Layer 1', 'Layer 1', 'Layer 1,L3'][doc_id % 4 + 1] AS hidden
+FROM documents WHERE doc_id % 10 NOT IN (3, 5, 7, 9)
+"""
+
+
+def page_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that can't be used, by reason."""
+    rows = pdf.quarantined(pdf.read(spark, _page_lines(spark, sf_dir)))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.count("corrupt_record").alias("kept"), F.count("doc_id").alias("known"))
+
+
+QUARANTINE_SQL = """
+SELECT reason, count(*) AS n, CASE WHEN reason IN ('not a page', 'a field of another type') THEN count(*) ELSE 0 END AS kept, CASE WHEN reason = 'not a page' THEN 0 ELSE count(*) END AS known
+FROM (SELECT CASE doc_id % 10 WHEN 3 THEN 'not a page' WHEN 5 THEN 'a field of another type' WHEN 7 THEN 'no document or page number' WHEN 9 THEN 'no size' END AS reason FROM documents) WHERE reason IS NOT NULL GROUP BY reason
+"""
+
 _ALL = {
     "word_table_matches": (word_table_matches, WORD_TABLE_SQL), "word_list_upkeep": (word_list_upkeep, WORD_LIST_SQL),
     "named_entities": (named_entities, NAMED_SQL), "named_places": (named_places, NAMED_PLACES_SQL),
     "streamed_windows": (streamed_windows, STREAMED_WINDOWS_SQL),
+    "feedback_analytics": (feedback_analytics, FEEDBACK_SQL), "feedback_calibration": (feedback_calibration, CALIBRATION_SQL), "page_contract": (page_contract, PAGE_CONTRACT_SQL), "page_quarantine": (page_quarantine, QUARANTINE_SQL),
     "page_search": (page_search, PAGE_SEARCH_SQL), "selected_fields": (selected_fields, SELECTED_FIELDS_SQL), "place_joins": (place_joins, PLACE_SQL),
 }
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
