@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .config import MEDIUM, TYPES
-from .operators import dedupe, feedback, layout, ner, pagesearch, wordlists
+from .operators import audit, dedupe, feedback, layout, ner, pagesearch, sanitize, wordlists
 from .page_queries import _ITEMS, PATTERNS, PLACE_SQL, _page_entities
 from .plans import pages
 from .queries import _detect_sql, _pages, _table, documents
-from .sources import pdf
+from .sources import docx, pdf
 from .storage import shared_dir
 from .streaming import detection
 
@@ -305,11 +305,37 @@ SELECT reason, count(*) AS n, CASE WHEN reason IN ('not a page', 'a field of ano
 FROM (SELECT CASE doc_id % 10 WHEN 3 THEN 'not a page' WHEN 5 THEN 'a field of another type' WHEN 7 THEN 'no document or page number' WHEN 9 THEN 'no size' END AS reason FROM documents) WHERE reason IS NOT NULL GROUP BY reason
 """
 
+# --- archives of other writers --------------------------------------------------------------------------------------------
+
+
+def foreign_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word parts with other prefixes, a default namespace, comments, CDATA and `>` in values: their texts, marks and what sanitising leaves."""
+    d, k = documents(spark, sf_dir), F.col("doc_id")
+    p = F.element_at(F.array(*map(F.lit, ("w:", "x1:", "", "a.b:"))), (k % 4 + 1).cast("int"))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    t = lambda w, i: F.concat(F.lit("<"), p, F.lit('t title="a>b">'), F.when(i % 2 == 0, F.concat(F.lit("<![CDATA["), w, F.lit("]]>"))).otherwise(F.replace(F.replace(w, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))), F.lit("</"), p, F.lit("t><!-- <w:t>no</w:t> -->"))
+    mark = lambda name: F.concat(F.lit("<"), p, F.lit(f"{name} id='1'>"), F.lit("<"), p, F.lit("t>x</"), p, F.lit("t></"), p, F.lit(f"{name}>"))
+    name = F.when(p == "", "xmlns").otherwise(F.concat(F.lit("xmlns:"), F.rtrim(p, F.lit(":"))))
+    part = F.concat(F.lit("<"), p, F.lit("document "), name, F.lit('="http://schemas.openxmlformats.org/wordprocessingml/2006/main">'), F.array_join(F.transform(words, t), ""), F.when(k % 3 == 0, mark("ins")).otherwise(""), F.when(k % 5 == 0, mark("del")).otherwise(""), F.lit("</"), p, F.lit("document>"))
+    parts = d.select("doc_id", F.create_map(F.lit(docx.DOCUMENT), F.encode(part, "UTF-8")).alias("parts"))
+    rows = parts.select("doc_id", docx.text_parts(F.col("parts")).alias("t"))
+    clean = F.element_at(sanitize.sanitized_parts(F.col("t")), docx.DOCUMENT)
+    changes = F.get(F.transform(F.filter(audit.docx_warnings(F.col("t")), lambda w: w["type"] == "track_changes"), lambda w: w["count"]), F.lit(0))
+    return rows.select("doc_id", F.sha2(docx.full_text(F.element_at("t", docx.DOCUMENT)), 256).alias("sha256"), F.coalesce(changes, F.lit(0)).cast("long").alias("changes"), F.sha2(docx.full_text(clean), 256).alias("clean_sha256"))
+
+
+FOREIGN_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents)
+SELECT doc_id, sha256(array_to_string(w || CASE WHEN doc_id % 3 = 0 THEN ['x'] ELSE [] END || CASE WHEN doc_id % 5 = 0 THEN ['x'] ELSE [] END, ' ')) AS sha256, ((doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT)::BIGINT AS changes,
+  sha256(array_to_string(w || CASE WHEN doc_id % 3 = 0 THEN ['x'] ELSE [] END, ' ')) AS clean_sha256 FROM t
+"""
+
 _ALL = {
     "word_table_matches": (word_table_matches, WORD_TABLE_SQL), "word_list_upkeep": (word_list_upkeep, WORD_LIST_SQL),
     "named_entities": (named_entities, NAMED_SQL), "named_places": (named_places, NAMED_PLACES_SQL),
     "streamed_windows": (streamed_windows, STREAMED_WINDOWS_SQL),
     "feedback_analytics": (feedback_analytics, FEEDBACK_SQL), "feedback_calibration": (feedback_calibration, CALIBRATION_SQL), "page_contract": (page_contract, PAGE_CONTRACT_SQL), "page_quarantine": (page_quarantine, QUARANTINE_SQL),
+    "foreign_archives": (foreign_archives, FOREIGN_SQL),
     "page_search": (page_search, PAGE_SEARCH_SQL), "selected_fields": (selected_fields, SELECTED_FIELDS_SQL), "place_joins": (place_joins, PLACE_SQL),
 }
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
