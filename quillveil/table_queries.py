@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .config import MEDIUM, TYPES
+from .functions import text as X
+from .functions.xml import escaped
 from .operators import audit, dedupe, feedback, layout, ner, pagesearch, sanitize, wordlists
 from .page_queries import _ITEMS, PATTERNS, PLACE_SQL, _page_entities
 from .plans import pages
 from .queries import _detect_sql, _pages, _table, documents
-from .sources import docx, pdf
+from .sources import archives, docx, pdf
 from .storage import shared_dir
 from .streaming import detection
 
@@ -330,12 +332,25 @@ SELECT doc_id, sha256(array_to_string(w || CASE WHEN doc_id % 3 = 0 THEN ['x'] E
   sha256(array_to_string(w || CASE WHEN doc_id % 3 = 0 THEN ['x'] ELSE [] END, ' ')) AS clean_sha256 FROM t
 """
 
+def stored_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives written as a file a document, under the names of redacted files, and read again with the text's entry alone."""
+    archives.register(spark)
+    path, k = shared_dir(spark), F.col("doc_id").cast("string")
+    parts = F.create_map(F.lit(docx.DOCUMENT), F.encode(F.concat(F.lit("<w:t>"), escaped(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")), F.lit("</w:t>")), "UTF-8"), F.lit("word/media/image1.png"), F.encode(k, "UTF-8"))
+    files_of = docx.written(documents(spark, sf_dir).select(X.output_name(F.concat(F.lit("doc."), k, F.lit(".docx"))).alias("name"), parts.alias("parts")))
+    files_of.write.format("document_files").mode("append").save(path)
+    rows = spark.read.format("word_archives").option("entries", docx.DOCUMENT).load(path)
+    return rows.select("name", F.size("parts").cast("long").alias("n_parts"), F.sha2(docx.full_text(F.decode(F.element_at("parts", docx.DOCUMENT), "UTF-8")), 256).alias("sha256"))
+
+
+STORED_SQL = r"""SELECT 'doc.' || doc_id || '-REDACTED.docx' AS name, 1::BIGINT AS n_parts, sha256(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS sha256 FROM documents"""
+
 _ALL = {
     "word_table_matches": (word_table_matches, WORD_TABLE_SQL), "word_list_upkeep": (word_list_upkeep, WORD_LIST_SQL),
     "named_entities": (named_entities, NAMED_SQL), "named_places": (named_places, NAMED_PLACES_SQL),
     "streamed_windows": (streamed_windows, STREAMED_WINDOWS_SQL),
     "feedback_analytics": (feedback_analytics, FEEDBACK_SQL), "feedback_calibration": (feedback_calibration, CALIBRATION_SQL), "page_contract": (page_contract, PAGE_CONTRACT_SQL), "page_quarantine": (page_quarantine, QUARANTINE_SQL),
-    "foreign_archives": (foreign_archives, FOREIGN_SQL),
+    "foreign_archives": (foreign_archives, FOREIGN_SQL), "stored_archives": (stored_archives, STORED_SQL),
     "page_search": (page_search, PAGE_SEARCH_SQL), "selected_fields": (selected_fields, SELECTED_FIELDS_SQL), "place_joins": (place_joins, PLACE_SQL),
 }
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
