@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import sql
 from .config import MEDIUM, TYPES
 from .functions import text as X
 from .functions.xml import escaped
 from .operators import audit, dedupe, feedback, layout, ner, pagesearch, sanitize, wordlists
 from .page_queries import _ITEMS, PATTERNS, PLACE_SQL, _page_entities
 from .plans import pages
-from .queries import _detect_sql, _pages, _table, documents
+from .queries import R, _detect_sql, _pages, _table, documents, records
 from .sources import archives, docx, pdf
 from .storage import shared_dir
 from .streaming import detection
@@ -209,6 +210,18 @@ SELECT doc_id // 60 AS hour, entity_type, count(*) AS n FROM ({_detect_sql("docu
 WHERE confidence >= {MEDIUM} AND (doc_id // 60 + 1) * 60 <= (SELECT max(doc_id) - 10 FROM documents) GROUP BY ALL
 """
 
+# --- SQL ------------------------------------------------------------------------------------------------------------------
+
+
+def sql_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities of the records, found by a table function in plain SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT r.rec_id, e.* FROM {records} r, LATERAL entities_in(r.text) e", records=records(spark, sf_dir))
+
+
+SQL_DETECTION_SQL = _detect_sql(R, "rec_id", use_scripts=False)
+
+
 # --- feedback ---------------------------------------------------------------------------------------------------------------
 
 
@@ -350,6 +363,7 @@ _ALL = {
     "named_entities": (named_entities, NAMED_SQL), "named_places": (named_places, NAMED_PLACES_SQL),
     "streamed_windows": (streamed_windows, STREAMED_WINDOWS_SQL),
     "feedback_analytics": (feedback_analytics, FEEDBACK_SQL), "feedback_calibration": (feedback_calibration, CALIBRATION_SQL), "page_contract": (page_contract, PAGE_CONTRACT_SQL), "page_quarantine": (page_quarantine, QUARANTINE_SQL),
+    "sql_detection": (sql_detection, SQL_DETECTION_SQL),
     "foreign_archives": (foreign_archives, FOREIGN_SQL), "stored_archives": (stored_archives, STORED_SQL),
     "page_search": (page_search, PAGE_SEARCH_SQL), "selected_fields": (selected_fields, SELECTED_FIELDS_SQL), "place_joins": (place_joins, PLACE_SQL),
 }
