@@ -193,20 +193,29 @@ def near_duplicates(vectors: DataFrame, scratch: str, cosine: float = COSINE, se
 
     Rows link when their cosine, in double precision, is `cosine` or more; vectors that are null, zero or hold null or
     non-finite components, and rows with a null id, link with nothing, nor do vectors of different lengths. Repeated rows
-    are rows of their own and link with each other. Other columns are left out. An empty table gives no rows.
+    are rows of their own and link with each other. Where an id stands for several vectors each row has its own vector's links, and all of
+    them are one component. Other columns are left out. An empty table gives no rows.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
     good = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "embedding")
-    classes = stored(classes, f"{scratch}/classes")
+    # Classes have numbers of their own, as an id can stand for several vectors; the number holds once the table is written.
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "id", "n", "embedding"), f"{scratch}/classes")
     k, tables = shape(classes.count(), cosine)
-    dealt = _dealt(_hashed(classes, k, tables, seed), _hashed(classes, k, tables, seed, whole=False), scratch)
+    own = classes.select("rep", "n", "embedding")
+    dealt = _dealt(_hashed(own, k, tables, seed), _hashed(own, k, tables, seed, whole=False), scratch)
     found = stored(_linked(dealt, cosine), f"{scratch}/linked")
-    # A vector can have several classes' smallest id only if ids repeat; links are then summed over them.
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), f"{scratch}/components")
-    known = classes.join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    known = stored(known.select(F.col("embedding").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), f"{scratch}/known")
+    ids = classes.select("rep", "id")
+    edges = found.select("rep", "root").join(ids.withColumnRenamed("id", "a"), "rep").join(ids.select(F.col("rep").alias("root"), F.col("id").alias("b")), "root").select("a", "b")
+    again = good.groupBy("vec_id").agg(F.count("*").alias("times")).where("times > 1").select(F.col("vec_id").alias("again"))
+    again = stored(again, f"{scratch}/again")
+    if not again.isEmpty():  # an id of several vectors ties their classes
+        tied = good.join(again, F.col("vec_id") == F.col("again"), "left_semi").join(classes.select("embedding", "id"), "embedding")
+        edges = edges.union(tied.select("vec_id", "id"))
+    parts = components(edges, f"{scratch}/components")
+    known = classes.join(links, "rep", "left").join(parts, F.col("id") == F.col("node"), "left")
+    known = stored(known.select(F.col("embedding").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component")), f"{scratch}/known")
     out = rows.join(known, (F.col("embedding") == F.col("v")) & usable(F.col("embedding")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

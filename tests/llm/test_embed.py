@@ -72,3 +72,9 @@ def test_a_dense_group_needs_little_memory():
     assert tracemalloc.get_traced_memory()[1] < 150_000_000
     tracemalloc.stop()
     assert (links == n - 1).all() and (root == 0).all()
+
+
+def test_an_id_of_several_vectors(spark, scratch):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (5, [-1.0, 0.0]), (4, [-1.0, 0.0]), (5, [0.0, -1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0])]
+    got = sorted(tuple(r) for r in embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scratch).collect())
+    assert [(i, n, c) for i, n, c, _ in got] == brute(rows)[0] == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (5, 0, 4), (5, 1, 4), (7, 1, 7), (7, 1, 7)]
