@@ -65,6 +65,11 @@ def compacted(text: Column) -> Column:
     return F.translate(F.lower(F.translate(F.upper(bare), "\u0130", "i")), "\u03c2", "\u03c3")
 
 
+def script_column(word: str) -> Column:
+    """What `script` says, for a column."""
+    return F.coalesce(*(F.when(F.col(word).rlike(f"[{chars}]"), name) for name, chars in _SCRIPTS), F.lit("latin"))
+
+
 def regex_column(word: str, case_sensitive: str, whole_word: str) -> Column:
     """What `regex` says, for columns of a table."""
     w = F.col(word)
