@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DetectionConfig
 from ..functions.scripts import with_scripts
@@ -50,6 +50,7 @@ def all_sources(docs: DataFrame, model_entities: DataFrame | None = None, config
 def with_selection(docs: DataFrame, entities: DataFrame, needle: str, kind: str = "CUSTOM", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Entities and all places of a text selected by hand that aren't among them yet."""
     own = find_occurrences(docs.select(key, text), needle, kind, text)
-    known = entities.select(F.col(key).alias("__k"), F.col("text_index").alias("__i"), F.lower("text").alias("__t"))
-    fresh = own.join(known, F.col(key).eqNullSafe(F.col("__k")) & (F.col("text_index") == F.col("__i")) & (F.lower("text") == F.col("__t")), "left_anti")
-    return entities.unionByName(fresh, allowMissingColumns=True)
+    rows = entities.withColumn("__known", F.lit(True)).unionByName(own.withColumn("__known", F.lit(False)), allowMissingColumns=True)
+    # By a window, not a join with the entities, so that they are worked out once.
+    known = F.max("__known").over(Window.partitionBy(key, "text_index", F.lower("text")))
+    return rows.withColumn("__met", known).where(F.col("__known") | ~F.col("__met")).drop("__known", "__met")

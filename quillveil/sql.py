@@ -36,24 +36,30 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _of(ordinal: int, p: Pattern) -> str:
-    """The entities of one pattern, as an expression on `text`."""
-    re = quoted(p.regex)
+def _scan(ordinal: int, p: Pattern) -> str:
+    """A pattern, and what it finds in `text`."""
+    keywords = f"array({', '.join(map(quoted, p.keywords))})" if p.keywords else "cast(array() AS ARRAY<STRING>)"
+    gate = f"rlike(text, {quoted(p.needs)})" if p.needs else "true"
+    return f"named_struct('ordinal', {ordinal}, 'name', {quoted(p.name)}, 'type', {quoted(p.type)}, 'regex', {quoted(p.regex)}, 'check', {quoted(p.validator or '')}, 'sure', {float(p.confidence)!r}D, 'boost', {float(p.boost)!r}D, 'size', {p.window}, 'keywords', {keywords}, 'values', if({gate}, regexp_extract_all(text, {quoted(p.regex)}, 0), NULL))"
+
+
+def _entities(checks: Sequence[str]) -> str:
+    """The entities of one scan `s` that found something, whatever its pattern: one expression, since each task reads and compiles what it runs."""
     step = "named_struct('at', acc.at + length(x.gap) + length(x.value), 'done', concat(acc.done, array(named_struct('start', acc.at + length(x.gap), 'end', acc.at + length(x.gap) + length(x.value), 'value', x.value))))"
-    found = f"aggregate(zip_with(split(text, {re}, -1), regexp_extract_all(text, {re}, 0), (g, v) -> named_struct('gap', g, 'value', v)), named_struct('at', 0, 'done', cast(array() AS {_FOUND})), (acc, x) -> if(x.value IS NULL, acc, {step}), acc -> acc.done)"
-    if p.validator:
-        found = f"filter({found}, m -> {CHECKS[p.validator].format(v='m.value')})"
+    found = f"aggregate(zip_with(split(text, s.regex, -1), s.values, (g, v) -> named_struct('gap', g, 'value', v)), named_struct('at', 0, 'done', cast(array() AS {_FOUND})), (acc, x) -> if(x.value IS NULL, acc, {step}), acc -> acc.done)"
+    if checks:
+        found = f"filter({found}, m -> CASE s.check {' '.join(f'WHEN {quoted(c)} THEN ' + CHECKS[c].format(v='m.value') for c in checks)} ELSE true END)"
     near = lambda w: f"substring(text, greatest(m.start - {w}, 0) + 1, m.end + {w} - greatest(m.start - {w}, 0))"
-    boost = f" * if(exists(array({', '.join(map(quoted, p.keywords))}), k -> contains(lower({near(p.window)}), k)), {p.boost!r}D, 1.0D)" if p.keywords else ""
+    boost = f"if(exists(s.keywords, k -> contains(lower({near('s.size')}), k)), s.boost, 1.0D)"
     context = f"concat(if(m.start - {CONTEXT_SHOWN} > 0, '...', ''), {near(CONTEXT_SHOWN)}, if(m.end + {CONTEXT_SHOWN} < length(text), '...', ''))"
-    row = f"named_struct('pattern_ordinal', {ordinal}, 'pattern_name', {quoted(p.name)}, 'entity_type', {quoted(p.type)}, 'text', m.value, 'text_index', m.start, 'confidence', least(1.0D, {float(p.confidence)!r}D{boost}), 'context_text', {context})"
-    gate = f"rlike(text, {quoted(p.needs)})" if p.needs else "true"
-    return f"if({gate}, cast(transform({found}, m -> {row}) AS ARRAY<{_ENTITY}>), cast(array() AS ARRAY<{_ENTITY}>))"
+    row = f"named_struct('pattern_ordinal', s.ordinal, 'pattern_name', s.name, 'entity_type', s.type, 'text', m.value, 'text_index', m.start, 'confidence', least(1.0D, s.sure * {boost}), 'context_text', {context})"
+    return f"transform({found}, m -> {row})"
 
 
 def entities_sql(patterns: Sequence[Pattern] = CATALOGUE) -> str:
     """All entities of `text` by pattern, then place, as one expression; null where the text is."""
-    return f"if(text IS NULL, NULL, concat({', '.join(_of(i, p) for i, p in enumerate(patterns))}))"
+    scans = f"filter(array({', '.join(_scan(i, p) for i, p in enumerate(patterns))}), s -> size(s.values) > 0)"
+    return f"if(text IS NULL, NULL, cast(flatten(transform({scans}, s -> {_entities(sorted({p.validator for p in patterns if p.validator}))})) AS ARRAY<{_ENTITY}>))"
 
 
 def register(spark: SparkSession, patterns: Sequence[Pattern] = CATALOGUE, array: str = "find_entities", table: str = "entities_in") -> None:
