@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillveil.functions.patterns import CATALOGUE
 from quillveil.functions.text import located
+from quillveil.operators import audit, sanitize
 from quillveil.operators.detect import detect
 from quillveil.plans import analysis
 from quillveil.queries import records
@@ -48,3 +49,16 @@ def test_texts_without_matches_have_none(spark):
     rows = spark.createDataFrame([(1, "ab"), (2, None), (3, ""), (4, "a1b")], "id int, text string")
     got = {r.id: [tuple(m) for m in r.m] for r in rows.select("id", located(F.col("text"), "[0-9]").alias("m")).collect()}
     assert got == {1: [], 2: [], 3: [], 4: [(1, 2, "1")]}
+
+
+def test_accepting_changes_scans_a_text_once_a_name(spark):
+    rows = spark.createDataFrame([(1, "<w:ins a='1'><w:t>a</w:t></w:ins><w:del><w:t>b</w:t></w:del>")], "id int, t string")
+    out = rows.select(sanitize.accepted_changes(F.regexp_replace("t", "zz", "")).alias("t"))
+    assert _nodes(out).count(", zz, ") == 1 and out.first().t == "<w:t>a</w:t>"
+
+
+def test_warnings_make_their_parts_once(spark):
+    rows = spark.createDataFrame([(1, "<w:vanish/>")], "id int, t string")
+    w = audit.docx_warnings(F.create_map(F.lit("word/document.xml"), F.regexp_replace("t", "zz", "")))
+    out = rows.select(F.transform(w, lambda x: F.concat_ws(":", x["type"], x["count"])).alias("w"))
+    assert _nodes(out).count(", zz, ") == 1 and out.first().w == ["hidden_text:1"]
