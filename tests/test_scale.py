@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillveil.functions.patterns import CATALOGUE
 from quillveil.functions.text import located
-from quillveil.operators import audit, sanitize
+from quillveil.operators import audit, sanitize, wordlists
 from quillveil.operators.detect import detect
 from quillveil.plans import analysis
 from quillveil.queries import records
@@ -62,3 +62,11 @@ def test_warnings_make_their_parts_once(spark):
     w = audit.docx_warnings(F.create_map(F.lit("word/document.xml"), F.regexp_replace("t", "zz", "")))
     out = rows.select(F.transform(w, lambda x: F.concat_ws(":", x["type"], x["count"])).alias("w"))
     assert _nodes(out).count(", zz, ") == 1 and out.first().w == ["hidden_text:1"]
+
+
+def test_a_words_expression_looks_for_its_first_character_first(spark):
+    words = spark.createDataFrame([("1", "Ünder"), ("2", "(x)"), ("3", "word")], "id string, word string")
+    docs = spark.createDataFrame([(1, "a ÜN DER (x) swords w or\nd, WORD")], "doc_id int, text string")
+    found = wordlists.candidates(docs, words)
+    assert all("(?=\\Q" in w.regex for r in found.collect() for w in r.words)
+    assert sorted((r.word_id, r.text) for r in wordlists.matches(docs, words).collect()) == [("1", "ÜN DER"), ("2", "(x)"), ("3", "WORD"), ("3", "w or\nd")]
