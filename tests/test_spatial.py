@@ -64,6 +64,15 @@ def test_places_are_those_of_the_fold(spark, scratch, n, side):
     assert dedupe.by_place(df.limit(0), scratch=scratch + "none").collect() == []
 
 
+def test_one_that_two_places_take_in_different_rounds_belongs_to_the_first(spark, scratch):
+    """A takes B, so that C begins a place, after D has: the last one may join both, and C comes first."""
+    at = [("A", 0.0, 0.0), ("B", 3.0, 0.0), ("C", 6.0, 0.0), ("D", 7.0, 4.0), ("D", 9.0, 0.0)]
+    df = spark.createDataFrame([(1, 1, i, i, t, 0.5 + i / 10, "regex", (x, y, 30.0, 10.0)) for i, (t, x, y) in enumerate(at)], ENTITY)
+    want = sorted(map(tuple, dedupe.by_place(df).collect()))
+    assert [x[2] for x in want] == [1, 3, 4]
+    assert sorted(map(tuple, dedupe.by_place(df, scratch=scratch).collect())) == want
+
+
 def test_a_page_of_many_boxes(spark, scratch):
     """A fifth of all entities have one box and text; of the others each comes twice, nearly."""
     n = 200_000
