@@ -8,6 +8,8 @@ from ..config import BOOST, CONTEXT_WINDOW
 
 #: An ASCII word boundary: Java's own \b also sees letters of other scripts, and would miss numbers next to them.
 B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: The same for the catalogue, in Java's own class, which is ASCII, too, and looked up in a table; under (?u), which users' words need, both differ.
+EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 #: White space as scripts in browsers have it, for use within a class.
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
@@ -33,7 +35,7 @@ class Pattern:
 
 
 def _java(body: str) -> str:
-    return body.replace("{B}", B).replace("{S}", WS)
+    return body.replace("{B}", EDGE).replace("{S}", WS)
 
 
 def _p(name, kind, confidence, body, validator=None, scripts=(), keywords=(), window=CONTEXT_WINDOW, boost=BOOST, needs="[0-9]"):

@@ -19,6 +19,8 @@ RANGES = {
     "cyrillic": r"\x{400}-\x{4FF}",
 }
 IGNORED = r"0-9\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\p{P}"
+#: Those of them that are ASCII.
+PLAIN = r"0-9\t\n\x0B\f\r !\x22#%&'()*,\-./:;?@\[\x5C\]_{}"
 # The share, in per cent, that a script must exceed, in order of the result.
 LIMITS = (("japanese", "japanese", 5), ("korean", "korean", 30), ("chinese", "cjk", 30), ("arabic", "arabic", 30), ("hebrew", "hebrew", 30), ("devanagari", "devanagari", 30), ("thai", "thai", 30), ("cyrillic", "cyrillic", 30), ("latin", "latin", 20))
 LEAST, MIXED, FALLBACK = 10, 20, 10
@@ -29,10 +31,11 @@ def script_counts(text: Column) -> Column:
     sample = F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE)
     named = "".join(RANGES.values())
     # Ranges of scripts hold a few marks of punctuation: those count for their script, so only what is in neither is other.
-    # Latin letters go run by run, and the other scripts are looked for in what is left, which is little in most texts.
+    # Latin letters and plain marks go run by run, and the other scripts are looked for in what is left, which is little in most texts.
     bare = F.regexp_replace(sample, f"[{RANGES['latin']}]+", "")
-    counts = {k: F.length(sample) - F.length(bare) if k == "latin" else F.regexp_count(bare, F.lit(f"[{r}]")) for k, r in RANGES.items()}
-    counts["other"] = F.regexp_count(bare, F.lit(f"[^{named}{IGNORED}]"))
+    rest = F.regexp_replace(bare, f"[{PLAIN}]+", "")
+    counts = {k: F.length(sample) - F.length(bare) if k == "latin" else F.regexp_count(rest, F.lit(f"[{r}]")) for k, r in RANGES.items()}
+    counts["other"] = F.regexp_count(rest, F.lit(f"[^{named}{IGNORED}]"))
     return F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))
 
 

@@ -4,7 +4,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from quillveil.functions.patterns import CATALOGUE
+from quillveil.functions import scripts
+from quillveil.functions.patterns import B, CATALOGUE, EDGE
 from quillveil.functions.text import located
 from quillveil.operators import audit, sanitize, wordlists
 from quillveil.operators.detect import detect
@@ -45,6 +46,25 @@ def test_cheap_conditions_lose_no_match(spark):
     assert sorted(gated.collect()) == sorted(free.collect()) and free.count() > 20
 
 
+def test_the_catalogues_boundaries_are_looked_up_and_are_the_same(spark):
+    assert not any("[A-Za-z0-9_]" in p.regex for p in CATALOGUE)
+    texts = ["a1_b-c", "电1话a", "é1é", "_", "", " a ", "٣3", "a\u0301b", "K1ſ2", "1\n2", "x😀y", "İi"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    at = rows.select(*(F.regexp_replace("text", F.lit(b), F.lit("|")).alias(n) for b, n in ((B, "b"), (EDGE, "edge")))).collect()
+    assert [r.b for r in at] == [r.edge for r in at] and sum(r.b.count("|") for r in at) > 20
+
+
+def test_scripts_are_looked_for_in_what_plain_marks_leave(spark):
+    """Each ASCII character by itself and all together: letters are Latin, ignored ones nothing, the others other."""
+    chars = [chr(i) for i in range(128)]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate([*chars, "".join(chars)])], "id int, text string").withColumn("n", scripts.script_counts(F.col("text")))
+    got = {r.id: r.n for r in rows.collect()}
+    other = {c for c in chars if not c.isalpha() and c not in "0123456789\t\n\x0b\f\r !\"#%&'()*,-./:;?@[\\]_{}"}
+    assert {c for i, c in enumerate(chars) if got[i].latin} == {c for c in chars if c.isalpha()}
+    assert {c for i, c in enumerate(chars) if got[i].other} == other and (got[128].latin, got[128].other, got[128].cjk) == (52, len(other), 0)
+    assert f"[{scripts.PLAIN}]+" in _nodes(rows)
+
+
 def test_texts_without_matches_have_none(spark):
     rows = spark.createDataFrame([(1, "ab"), (2, None), (3, ""), (4, "a1b")], "id int, text string")
     got = {r.id: [tuple(m) for m in r.m] for r in rows.select("id", located(F.col("text"), "[0-9]").alias("m")).collect()}
