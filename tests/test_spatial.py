@@ -73,6 +73,18 @@ def test_one_that_two_places_take_in_different_rounds_belongs_to_the_first(spark
     assert sorted(map(tuple, dedupe.by_place(df, scratch=scratch).collect())) == want
 
 
+@pytest.mark.parametrize("few", [3, 1000])
+def test_rounds_travel_as_pairs_of_numbers(spark, scratch, monkeypatch, few):
+    """By page or in cells, with repeated rows, empty boxes, null texts and null keys; an entity is written when it is numbered, not with each pair."""
+    monkeypatch.setattr(S, "FEW", few, raising=False)
+    own = entities(random.Random(8), 90, 9)
+    own += own[:20] + [(None, *x[1:]) for x in own[:9]] + [(*x[:4], None, *x[5:]) for x in own[:9]] + [(*x[:7], (1.0, 2.0, 0.0, 10.0)) for x in own[:9]]
+    df = spark.createDataFrame(own, ENTITY)
+    want = sorted(map(str, dedupe.by_place(df).collect()))
+    assert sorted(map(str, dedupe.by_place(df, scratch=scratch).collect())) == want
+    assert spark.read.parquet(f"{scratch}/edges-0").dtypes == [("u", "bigint"), ("v", "bigint")]
+
+
 def test_a_page_of_many_boxes(spark, scratch):
     """A fifth of all entities have one box and text; of the others each comes twice, nearly."""
     n = 200_000
