@@ -10,6 +10,7 @@ from quillveil.functions.text import located
 from quillveil.operators import audit, sanitize, wordlists
 from quillveil.operators.detect import detect
 from quillveil.plans import analysis
+from quillveil.sources import docx
 from quillveil.queries import records
 
 from test_patterns import CASES
@@ -90,3 +91,15 @@ def test_a_words_expression_looks_for_its_first_character_first(spark):
     found = wordlists.candidates(docs, words)
     assert all("(?=\\Q" in w.regex for r in found.collect() for w in r.words)
     assert sorted((r.word_id, r.text) for r in wordlists.matches(docs, words).collect()) == [("1", "ÜN DER"), ("2", "(x)"), ("3", "WORD"), ("3", "w or\nd")]
+
+
+def test_archives_go_to_python_by_few_rows(spark):
+    """An Arrow batch holds 10,000 archives, however large; and the call stays outside the expressions that use it several times."""
+    parts = F.create_map(F.lit(docx.DOCUMENT), F.encode(F.concat(F.lit("<w:t>"), F.col("id").cast("string"), F.lit("</w:t>")), "UTF-8"), F.lit("a.png"), F.unhex(F.lit("00ff")))
+    read = docx.entries(docx.written(spark.range(250).select("id", parts.alias("parts"))))
+    text = read.select("id", docx.full_text(F.decode(F.element_at("parts", docx.DOCUMENT), "UTF-8")).alias("text"), F.element_at("parts", "a.png").alias("image"), "error")
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "InPandas" not in plan and "ArrowEvalPython" not in plan
+    assert sorted(text.collect()) == [(i, str(i), bytearray(b"\x00\xff"), None) for i in range(250)]
+    bad = docx.entries(spark.createDataFrame([(1, b"no archive"), (2, None)], "id int, content binary")).collect()
+    assert [(r.parts, r.error is None) for r in bad] == [({}, False)] * 2
