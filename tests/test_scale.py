@@ -1,5 +1,6 @@
 """What keeps the cost in proportion: work dealt to all cores, and done once."""
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -103,3 +104,16 @@ def test_archives_go_to_python_by_few_rows(spark):
     assert sorted(text.collect()) == [(i, str(i), bytearray(b"\x00\xff"), None) for i in range(250)]
     bad = docx.entries(spark.createDataFrame([(1, b"no archive"), (2, None)], "id int, content binary")).collect()
     assert [(r.parts, r.error is None) for r in bad] == [({}, False)] * 2
+
+
+def test_runs_of_all_sizes_take_one_scan(spark):
+    texts = ["The straße\n is wide, İstanbul! a_b9 c", "x", "", "ſun Kelvin é1 ab", "ab", "  tail of text"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    df = rows.select("text", wordlists._runs(F.col("text"), [], [2, 5, 8]).alias("runs"))
+    assert _nodes(df).count("regexp_extract_all(") == 1
+    for r in df.collect():
+        for n in (2, 5, 8):
+            one = rows.where(F.col("text") == r.text).select(wordlists._runs(F.col("text"), [], [n]).alias("runs")).first().runs
+            assert set(one) <= set(r.runs)
+        shown = {r.text[i:].replace(" ", "").replace("\n", "")[:2].lower() for i in range(len(r.text)) if re.match(r"[A-Za-z0-9_]", r.text[i]) and (i == 0 or not re.match(r"[A-Za-z0-9_]", r.text[i - 1]))}
+        assert {x[1:] for x in r.runs if len(x) == 3} >= {s for s in shown if len(s) == 2 and s.isascii()}
